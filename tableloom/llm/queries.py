@@ -9,10 +9,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality, sharding, token_files
+from . import decontaminate, neardup, packing, quality, sharding, token_files
 from .shared import shared_dir, table
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_copies(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents")).drop("text", "clean_text")
 
@@ -46,12 +50,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op3_quality_rules, op5_token_files, op8_packing, op9_decontamination, op10_sharding)
+    own = (op1_minhash, op3_quality_rules, op5_token_files, op8_packing, op9_decontamination, op10_sharding)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_minhash": neardup.ORACLE,
         "op3_quality_rules": quality.ORACLE,
         "op9_decontamination": decontaminate.ORACLE,
         "op10_sharding": sharding.ORACLE,

@@ -69,10 +69,10 @@ def shard(docs: DataFrame, *, shards: int = 8, seed: int = 17) -> DataFrame:
 
 #: op10's result as DuckDB SQL; crc32 by bytes from its table, as DuckDB has no such function.
 ORACLE = """
-WITH t AS (SELECT list_transform(range(256), x -> list_reduce(list_prepend(x, range(8)), (c, k) -> CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+WITH t AS (SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
 d AS (SELECT doc_id, source, (coalesce(strlen(text), 0) + 1)::BIGINT AS size, hex(encode(coalesce(text, ''))) AS x, md5('17:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
-y AS (SELECT * EXCLUDE (x), xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(x) // 2), i -> ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
-  (c, b) -> xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)::BIGINT AS text_crc32 FROM d, t),
+y AS (SELECT * EXCLUDE (x), xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+  lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)::BIGINT AS text_crc32 FROM d, t),
 r AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY h, doc_id, size, text_crc32) - 1 + 0.5::DOUBLE) / count(*) OVER (PARTITION BY source) AS f FROM y),
 p AS (SELECT *, row_number() OVER (ORDER BY f, h, source NULLS FIRST, doc_id, size, text_crc32) - 1 AS p, count(*) OVER () AS n FROM r)
 SELECT doc_id, size, text_crc32, 'rows' AS law, (p * 8 // n)::INT AS shard, p - ((p * 8 // n) * n + 7) // 8 AS slot, NULL::INT AS grown_shard FROM p
