@@ -14,8 +14,6 @@ from .shared import LOWER, pick, raw, written
 #: Bytes of words: digits, a-z and everything beyond ASCII; all others become spaces.
 WORD_BYTES = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in LOWER)
 
-STATE = "doc_id bigint, text string, n_words bigint, hits array<bigint>, items array<string>"
-
 
 def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(WORD_BYTES).split() if text else []
@@ -99,21 +97,23 @@ def _probe(state: DataFrame, windows: list[tuple[list[bytes], list[str]]], rarit
                 hits.append(sorted(hit))
                 items.append(sorted(seen))
             yield pa.record_batch(
-                [batch.column("doc_id"), batch.column("text"), pa.array(sizes, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
-                names=["doc_id", "text", "n_words", "hits", "items"],
+                [*(batch.column(c) for c in own_columns), pa.array(sizes, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
+                names=[*own_columns, "n_words", "hits", "items"],
             )
 
-    return state.mapInArrow(run, STATE)
+    own_columns = [c for c in state.columns if c not in ("n_words", "hits", "items")]
+    return state.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in state.dtypes))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block: int = 200_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block: int = 200_000, keep: tuple[str, ...] = ()) -> DataFrame:
     """Which words of each document stand inside a benchmark item's window.
 
     Words are runs of digits, letters a-z (A-Z lowered) and characters beyond
     ASCII.  A window is `window` consecutive words of an item, or a shorter
     item whole.  Input: documents with `doc_id` (integer) and `text`, items
-    with `item_id` and `text`; further columns are ignored.  Output, a row for
-    each document row: doc_id, text, n_words, hits (positions of hit words,
+    with `item_id` and `text`; further columns are ignored, but for those of
+    documents named in `keep`, which go first (not n_words, hits or items).
+    Output, a row for each document row: doc_id, text, n_words, hits (positions of hit words,
     ascending), items (their item_ids as strings, ascending).  Null and empty
     texts have no words and no hits; items without words or id have no windows;
     an empty benchmark hits nothing.
@@ -126,7 +126,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, blo
     most `block`, each block against all documents, so a benchmark of any size
     gives whole results and documents are never shuffled.
     """
-    d = pick(docs, doc_id="bigint", text="string")
+    d = pick(docs, *keep, doc_id="bigint", text="string")
     windows = _windows(benchmark, window)
     n = windows.count()
     if n > block:
@@ -136,7 +136,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, blo
     else:
         parts = [windows]
     state = d.select(
-        "doc_id", "text", F.lit(0).cast("bigint").alias("n_words"), F.array().cast("array<bigint>").alias("hits"), F.array().cast("array<string>").alias("items")
+        *keep, "doc_id", "text", F.lit(0).cast("bigint").alias("n_words"), F.array().cast("array<bigint>").alias("hits"), F.array().cast("array<string>").alias("items")
     )
     for i, part in enumerate(parts):
         held = [(bytes(r.words).split(b" "), sorted(r.items)) for r in part.groupBy("words").agg(F.collect_set("item_id").alias("items")).collect()]

@@ -82,20 +82,51 @@ def line_fails(line: Column, min_symbol_share: float = 0.3, min_shout_share: flo
     )
 
 
-def quality(
-    docs: DataFrame,
-    *,
-    min_words: int = 10,
-    max_repeat_percent: int = 20,
-    max_lost_percent: int = 60,
-    window: int = 5,
-) -> DataFrame:
+def figures(text: Column, *, min_words: int = 10, max_repeat_percent: int = 20, max_lost_percent: int = 60, window: int = 5) -> Column:
+    """A struct of what `quality` returns for a text."""
+    text = F.coalesce(text, F.lit(""))
+    words = F.filter(F.split(text, SPACES + "+"), lambda w: w != "")
+    lines = F.split(text, "\n")
+    full = F.filter(lines, lambda x: x.rlike(WORD))
+    judged = F.transform(lines, lambda x: F.struct(x.alias("line"), line_fails(x).alias("fails")))
+
+    def verdict(x: Column) -> Column:
+        n, repeated, lost = x["n_words"], x["n_repeat_words"], x["lost_words"]
+        failed = (n < min_words) | (100 * repeated > max_repeat_percent * n)
+        names = ("clean_text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_words")
+        return F.struct(
+            *(x[name].alias(name) for name in names),
+            failed.alias("base_failed"),
+            (~failed & (100 * lost <= max_lost_percent * n)).alias("kept"),
+        )
+
+    def cleaned(x: Column) -> Column:
+        left = F.transform(F.filter(x, lambda y: ~y["fails"]), lambda y: y["line"])
+        lost = F.aggregate(F.filter(x, lambda y: y["fails"]), F.lit(0).cast("long"), lambda n, y: n + F.regexp_count(y["line"], F.lit(WORD)))
+        return F.struct(F.array_join(left, "\n").alias("clean_text"), lost.alias("lost_words"))
+
+    def counted(lines_: Column) -> Column:
+        return _let(words, lambda w: _let(F.struct(
+            lines_["clean_text"].alias("clean_text"),
+            F.size(w).cast("long").alias("n_words"),
+            F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
+            (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            _let(full, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+            _repeat_words(w, window).cast("long").alias("n_repeat_words"),
+            lines_["lost_words"].alias("lost_words"),
+        ), verdict))
+
+    return _let(judged, lambda x: _let(cleaned(x), counted))
+
+
+def quality(docs: DataFrame, *, keep: tuple[str, ...] = (), **rules: int) -> DataFrame:
     """Base figures, the cleaned text and a verdict for each document.
 
-    Input: `doc_id` and `text`; further columns are ignored.  Output: doc_id,
-    text, clean_text, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, lost_words, base_failed, kept; one row for each input row,
-    repeated rows included.
+    Input: `doc_id` and `text`; further columns are ignored, but for those
+    named in `keep`, which go first.  Output: doc_id, text, clean_text,
+    n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost_words,
+    base_failed, kept; one row for each input row, repeated rows included.
+    Rules: see `figures`.
 
     Lines are judged first (`line_fails`); those that fail are removed, and a
     document that loses more than `max_lost_percent` of its words with them is
@@ -103,36 +134,8 @@ def quality(
     kept false; its clean_text is empty.  A text of any length is one row's
     work; nothing is shuffled.
     """
-    d = pick(docs, "doc_id", text="string")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    words = F.filter(F.split(text, SPACES + "+"), lambda w: w != "")
-    lines = F.split(text, "\n")
-    full = F.filter(lines, lambda x: x.rlike(WORD))
-    bad = F.filter(lines, lambda x: line_fails(x))
-    base = d.select(
-        "doc_id",
-        "text",
-        _let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeat_words(w, window).cast("long").alias("r"))).alias("_w"),
-        F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        _let(full, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        F.aggregate(bad, F.lit(0).cast("long"), lambda n, x: n + F.regexp_count(x, F.lit(WORD))).alias("lost_words"),
-    )
-    n, repeated = F.col("_w")["n"], F.col("_w")["r"]
-    failed = (n < min_words) | (100 * repeated > max_repeat_percent * n)
-    return base.select(
-        "doc_id",
-        "text",
-        F.array_join(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: ~line_fails(x)), "\n").alias("clean_text"),
-        n.alias("n_words"),
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
-        repeated.alias("n_repeat_words"),
-        "lost_words",
-        failed.alias("base_failed"),
-        (~failed & (100 * F.col("lost_words") <= max_lost_percent * n)).alias("kept"),
-    )
+    d = pick(docs, *keep, "doc_id", text="string")
+    return d.withColumn("_q", figures(F.col("text"), **rules)).select(*keep, "doc_id", "text", "_q.*")
 
 
 #: What quality() returns over `documents`, without its text columns, as DuckDB SQL.

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, neardup, packing, quality, sharding, token_files, toxicity
+from . import decontaminate, html, licenses, neardup, packing, quality, sharding, token_counts, token_files, toxicity
 from .shared import shared_dir, table
 
 
@@ -17,10 +17,18 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_copies(table(spark, sf_dir, "documents"))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents")).drop("text", "clean_text")
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}/tokens"
     token_files.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer=public_tokenizers.path("word_bpe_49k.json"), end_id=1)
@@ -35,6 +43,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary=public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("byte_bpe_50k.json"), end_id=0, size=1024)
 
@@ -58,7 +70,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_minhash, op3_quality_rules, op5_token_files, op6_toxicity, op8_packing, op9_decontamination, op10_sharding)
+    own = (
+        op1_minhash,
+        op2_html,
+        op3_quality_rules,
+        op4_licenses,
+        op5_token_files,
+        op6_toxicity,
+        op7_token_counts,
+        op8_packing,
+        op9_decontamination,
+        op10_sharding,
+    )
     return {f.__name__: f for f in own}
 
 
@@ -66,6 +89,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_minhash": neardup.ORACLE,
         "op3_quality_rules": quality.ORACLE,
+        "op4_licenses": licenses.ORACLE,
         "op9_decontamination": decontaminate.ORACLE,
         "op10_sharding": sharding.ORACLE,
     }

@@ -312,18 +312,18 @@ def features(docs: DataFrame, lexicon: Lexicon, extra: tuple[str, ...] = ()) ->
             )
 
     types = dict(docs.dtypes)
-    return docs.select("doc_id", "text", *extra).mapInArrow(run, ", ".join([f"{c} {types[c]}" for c in ("doc_id", *extra)]) + ", features array<double>")
+    return docs.select("doc_id", "text", *(c for c in extra if c != "text")).mapInArrow(run, ", ".join([f"{c} {types[c]}" for c in ("doc_id", *extra)]) + ", features array<double>")
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score (0 to 1, higher: more likely toxic), a row for each input row.
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns named in `keep` and score (0 to 1, higher: more likely toxic), a row for each input row.
 
     Input: `doc_id` and `text`; further columns are ignored.  Null and empty
     texts have no hits and get the score of such texts; texts of any length are
     read whole.  Nothing is shuffled; the model is at most `most_terms` words.
     """
-    found = features(pick(docs, "doc_id", text="string"), model.lexicon)
+    found = features(pick(docs, "doc_id", *keep, text="string"), model.lexicon, keep)
     z = F.lit(model.bias)
     for k, w in enumerate(model.weights):
         z = z + F.lit(w) * F.col("features")[k]
-    return found.select("doc_id", (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))).alias("score"))
+    return found.select("doc_id", *keep, (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))).alias("score"))
