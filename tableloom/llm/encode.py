@@ -8,6 +8,8 @@ import sys
 from array import array
 from functools import lru_cache
 
+import numpy as np
+
 #: A space before a word: neither pre-tokenizer joins what lies on its two sides,
 #: so a text's ids are those of its pieces one after another.
 CUT = re.compile(r"(?= \S)")
@@ -24,9 +26,13 @@ class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers.
 
     Words recur, so each distinct piece between cuts goes to the tokenizers
-    library once; at most `most` pieces are remembered at a time.
+    library once: about `most` pieces are remembered, those of the last batches
+    and those that they used again.  New pieces go to the library joined into
+    long texts with a mark after each, whose ids tell where a piece ends.
     """
 
+    MARK = " \x01"
+
     def __init__(self, path: str, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -35,24 +41,38 @@ class Encoder:
         # a special token that takes white space beside it would cross a cut
         crossing = [t for t in self.tokenizer.get_added_tokens_decoder().values() if t.lstrip or t.rstrip or re.search(r"\s", t.content)]
         self.split = (lambda text: [text]) if crossing else CUT.split
-        self.known: dict[str, bytes] = {}
+        self.mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.most = most
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as default encoding without added special tokens gives them; none for null."""
         pieces = [self.split(t) if t else () for t in texts]
-        new = set().union(*pieces) - self.known.keys()
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = set().union(*pieces)
-        new = list(new)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for piece, done in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[piece] = ids_bytes(done.ids)
-        get = self.known.__getitem__
+        if len(self.new) > self.most // 2:
+            self.old, self.new = self.new, {}
+        missing = set().union(*pieces).difference(self.new)
+        again = missing.intersection(self.old)
+        self.new.update(zip(again, map(self.old.__getitem__, again), strict=True))
+        missing -= again
+        self.learn([p for p in missing if p[:1] == " " and "\x01" not in p])
+        for piece in missing.difference(self.new):
+            self.new[piece] = ids_bytes(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+        get = self.new.__getitem__
         return [b"".join(map(get, x)) for x in pieces]
 
+    def learn(self, pieces: list[str], at_once: int = 500) -> None:
+        """Encode pieces that begin with a space, many in one text."""
+        size, last = 4 * len(self.mark), self.mark[-1]
+        groups = [pieces[k : k + at_once] for k in range(0, len(pieces), at_once)]
+        done = self.tokenizer.encode_batch_fast([self.MARK.join([*g, ""]) for g in groups], add_special_tokens=False)
+        for group, encoding in zip(groups, done, strict=True):
+            ids = np.array(encoding.ids, "<u4")
+            ends = (4 * np.flatnonzero(ids == last) + 4).tolist()
+            if len(ends) == len(group):  # else the mark's id stands for something else as well
+                whole = ids.tobytes()
+                self.new.update(zip(group, (whole[a : b - size] for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
