@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .encode import encoder, ids_bytes
-from .shared import pick, slices, texts
+from .shared import pick, slices, texts, written
 
 FILE_SCHEMA = "doc_id bigint, part int, part_start bigint, n_tokens bigint, ids array<int>"
 
@@ -70,10 +70,12 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     the files' statistics and Bloom filters.
     """
     files = spark.read.schema(FILE_SCHEMA).orc(path)
-    sums = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    sums = written(files.groupBy("part").agg(F.sum("n_tokens").alias("n")), "sums")
     # one row a file
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    if sums.count() <= 1_000_000:  # 12 bytes each; the files' ids then stay where they are read
+        bases = F.broadcast(bases)
     return files.join(bases, "part").select("doc_id", (F.col("base") + F.col("part_start")).alias("start"), "n_tokens", "ids")
 
 
