@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableloom.llm import decontaminate, neardup, packing, quality, toxicity
-from tableloom.llm.shared import table, written
+from tableloom.llm.shared import pick, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 OTHERS = ("lang", "source", "n_chars")
@@ -20,7 +20,9 @@ OTHERS = ("lang", "source", "n_chars")
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that fail a rule go from their texts; documents that are rejected go whole."""
-    kept = quality.quality(docs, keep=OTHERS).where("kept")
+    # a filter on a computed column would compute it twice, a generator does so once
+    judged = F.inline(F.filter(F.array(quality.figures(F.col("text"))), lambda q: q["kept"]))
+    kept = pick(docs, "doc_id", *OTHERS, text="string").select("doc_id", *OTHERS, judged)
     return kept.select("doc_id", F.col("clean_text").alias("text"), "lang", "source", F.length("clean_text").cast("long").alias("n_chars"))
 
 

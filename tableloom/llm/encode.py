@@ -9,10 +9,14 @@ from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: A space before a word: neither pre-tokenizer joins what lies on its two sides,
 #: so a text's ids are those of its pieces one after another.
 CUT = re.compile(r"(?= \S)")
+#: Words, cut at every space, that may not stand apart from what lies before them.
+SPACED = r"^($|[\s\x1c-\x1f\x{85}\p{Z}])"
 
 
 def ids_bytes(ids: list[int]) -> bytes:
@@ -33,36 +37,66 @@ class Encoder:
 
     MARK = " \x01"
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         # a special token that takes white space beside it would cross a cut
         crossing = [t for t in self.tokenizer.get_added_tokens_decoder().values() if t.lstrip or t.rstrip or re.search(r"\s", t.content)]
-        self.split = (lambda text: [text]) if crossing else CUT.split
+        self.split = None if crossing else CUT.split
         self.mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.most = most
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text, as default encoding without added special tokens gives them; none for null."""
-        pieces = [self.split(t) if t else () for t in texts]
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text, as default encoding without added special tokens gives them; none for null.
+
+        Arrow splits the texts at spaces and numbers the distinct words; numpy
+        then lays the ids of the words end to end.
+        """
+        if self.split is None or not len(texts):
+            return [ids_bytes(e.ids) for e in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+        parts = pc.split_pattern(pc.fill_null(pc.cast(texts, pa.string()), ""), " ")
+        begins = parts.offsets.to_numpy()
+        coded = parts.values.dictionary_encode()
+        place, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        firsts = words.take(pa.array(place[begins[:-1]])).to_pylist()
+        # a word that is empty or begins with white space belongs to what lies before it
+        inner = np.ones(len(place), bool)
+        inner[begins[:-1]] = False
+        joined = pc.match_substring_regex(words, SPACED).to_numpy(zero_copy_only=False)[place] & inner
+        whole = np.logical_or.reduceat(joined, begins[:-1])
+        pieces = [f" {w}" for w in words.to_pylist()]
+        known = self.ids(pieces + firsts)
+        place[begins[:-1]] = len(pieces) + np.arange(len(firsts))
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        starts, flat = sizes.cumsum() - sizes, np.frombuffer(b"".join(known), "<u4")
+        n = sizes[place]
+        ends = n.cumsum()
+        laid = flat[np.repeat(starts[place] - ends + n, n) + np.arange(ends[-1])].tobytes()
+        cuts = [0, *(4 * ends[begins[1:] - 1]).tolist()]
+        out = [laid[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        for k in np.flatnonzero(whole).tolist():
+            out[k] = b"".join(self.ids(self.split(texts[k].as_py())))
+        return out
+
+    def ids(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece."""
         if len(self.new) > self.most // 2:
             self.old, self.new = self.new, {}
-        missing = set().union(*pieces).difference(self.new)
+        missing = set(pieces).difference(self.new)
         again = missing.intersection(self.old)
         self.new.update(zip(again, map(self.old.__getitem__, again), strict=True))
         missing -= again
-        self.learn([p for p in missing if p[:1] == " " and "\x01" not in p])
+        self.learn([p for p in missing if (p[:1] == " " or p[:1].isalnum()) and "\x01" not in p])
         for piece in missing.difference(self.new):
             self.new[piece] = ids_bytes(self.tokenizer.encode(piece, add_special_tokens=False).ids)
-        get = self.new.__getitem__
-        return [b"".join(map(get, x)) for x in pieces]
+        return list(map(self.new.__getitem__, pieces))
 
-    def learn(self, pieces: list[str], at_once: int = 500) -> None:
-        """Encode pieces that begin with a space, many in one text."""
+    def learn(self, pieces: list[str], at_once: int = 100) -> None:
+        """Encode pieces that begin with a space, a letter or a digit, many in one text."""
         size, last = 4 * len(self.mark), self.mark[-1]
         groups = [pieces[k : k + at_once] for k in range(0, len(pieces), at_once)]
         done = self.tokenizer.encode_batch_fast([self.MARK.join([*g, ""]) for g in groups], add_special_tokens=False)

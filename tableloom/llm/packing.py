@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .encode import encoder, ids_bytes
-from .shared import pick, slices, texts
+from .shared import pick, slices
 
 PIECE_SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -158,8 +158,8 @@ def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 0, size: int = 1024,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer), ids_bytes([end_id])
         packer, n = Packer(size, TaskContext.get().partitionId() << 40), 0
-        for batch in slices(batches, "text", 8_000_000):
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(texts(batch.column("text"))), strict=True):
+        for batch in slices(batches, "text"):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text")), strict=True):
                 packer.add(doc_id, ids + end)
             n += batch.num_rows
             if n >= window:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .encode import encoder, ids_bytes
-from .shared import pick, slices, texts, written
+from .shared import pick, slices, written
 
 FILE_SCHEMA = "doc_id bigint, part int, part_start bigint, n_tokens bigint, ids array<int>"
 
@@ -34,8 +34,8 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str, end_id: int = 1,
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, before, end = encoder(tokenizer), TaskContext.get().partitionId(), 0, ids_bytes([end_id])
-        for batch in slices(batches, "text", 8_000_000):
-            ids = [x + end for x in enc.encode(texts(batch.column("text")))]
+        for batch in slices(batches, "text"):
+            ids = [x + end for x in enc.encode(batch.column("text"))]
             sizes = np.array([len(x) // 4 for x in ids], "<i8")
             offsets = np.concatenate(([0], sizes.cumsum()))
             values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
@@ -54,7 +54,7 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str, end_id: int = 1,
     d = pick(docs, doc_id="bigint", text="string")
     ordered = d.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     options = {
-        "compression": "zstd",
+        "compression": "lz4",
         "orc.create.index": "true",
         "orc.row.index.stride": str(row_index_stride),
         "orc.bloom.filter.columns": "doc_id",

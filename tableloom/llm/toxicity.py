@@ -129,7 +129,7 @@ class Scorer:
 
     def find(self, word: str) -> tuple[str, int] | None:
         if word not in self.known:
-            if len(self.known) > 500_000:
+            if len(self.known) > 200_000:
                 self.known.clear()
             met = self.automaton.match(word)
             self.known[word] = None if met and met[1] and word in self.lexicon.innocent else met
