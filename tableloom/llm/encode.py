@@ -7,6 +7,7 @@ import re
 import sys
 from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,9 @@ import pyarrow.compute as pc
 CUT = re.compile(r"(?= \S)")
 #: Words, cut at every space, that may not stand apart from what lies before them.
 SPACED = r"^($|[\s\x1c-\x1f\x{85}\p{Z}])"
+#: Latin letters and digits with ASCII punctuation after them, once more after a line's end.
+#: Pre-tokenizers part letters and digits from punctuation, and both from a single line end.
+PARTS = r"^(?P<a> ?{0})(?P<b>{1})(?:(?P<c>\n)(?P<d>{0})(?P<e>{1}))?$".format("[A-Za-z0-9À-ÖØ-öø-ɏ]+", r"[!-&(-/:-@\[-`{-~]*")
 
 
 def ids_bytes(ids: list[int]) -> bytes:
@@ -26,18 +30,30 @@ def ids_bytes(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
+def strings(column: pa.Array) -> list[str]:
+    """The same as to_pylist, for short strings many times as fast."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def lay(flat: np.ndarray, sizes: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Of the runs of `sizes` that make up flat, those named by place, end to end."""
+    starts, n = sizes.cumsum() - sizes, sizes[place]
+    ends = n.cumsum()
+    return flat[np.repeat(starts[place] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers.
 
-    Words recur, so each distinct piece between cuts goes to the tokenizers
-    library once: about `most` pieces are remembered, those of the last batches
-    and those that they used again.  New pieces go to the library joined into
-    long texts with a mark after each, whose ids tell where a piece ends.
+    Words recur, so each distinct part (PARTS) of the pieces between cuts goes
+    to the tokenizers library once: about `most` parts are remembered, those of
+    the last batches and those that they used again.  New ones go joined into
+    long texts with a mark after each, whose ids tell where a part ends.
     """
 
     MARK = " \x01"
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -53,59 +69,73 @@ class Encoder:
     def encode(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text, as default encoding without added special tokens gives them; none for null.
 
-        Arrow splits the texts at spaces and numbers the distinct words; numpy
-        then lays the ids of the words end to end.
+        Arrow splits the texts at spaces, numbers the distinct words and parts
+        them; numpy then lays the ids of parts and of words end to end.
         """
         if self.split is None or not len(texts):
             return [ids_bytes(e.ids) for e in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
-        parts = pc.split_pattern(pc.fill_null(pc.cast(texts, pa.string()), ""), " ")
-        begins = parts.offsets.to_numpy()
-        coded = parts.values.dictionary_encode()
+        split = pc.split_pattern(pc.fill_null(pc.cast(texts, pa.string()), ""), " ")
+        begins = split.offsets.to_numpy()
+        coded = split.values.dictionary_encode()
         place, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
-        firsts = words.take(pa.array(place[begins[:-1]])).to_pylist()
+        firsts = words.take(pa.array(place[begins[:-1]]))
         # a word that is empty or begins with white space belongs to what lies before it
         inner = np.ones(len(place), bool)
         inner[begins[:-1]] = False
         joined = pc.match_substring_regex(words, SPACED).to_numpy(zero_copy_only=False)[place] & inner
-        whole = np.logical_or.reduceat(joined, begins[:-1])
-        pieces = [f" {w}" for w in words.to_pylist()]
-        known = self.ids(pieces + firsts)
-        place[begins[:-1]] = len(pieces) + np.arange(len(firsts))
-        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        starts, flat = sizes.cumsum() - sizes, np.frombuffer(b"".join(known), "<u4")
-        n = sizes[place]
-        ends = n.cumsum()
-        laid = flat[np.repeat(starts[place] - ends + n, n) + np.arange(ends[-1])].tobytes()
-        cuts = [0, *(4 * ends[begins[1:] - 1]).tolist()]
-        out = [laid[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        for k in np.flatnonzero(whole).tolist():
-            out[k] = b"".join(self.ids(self.split(texts[k].as_py())))
+        whole = np.flatnonzero(np.logical_or.reduceat(joined, begins[:-1])).tolist()
+        place[begins[:-1]] = len(words) + np.arange(len(firsts))
+        spaced = pc.binary_join_element_wise(pa.scalar(""), words, " ")
+        flat, sizes = self.pieces(pa.concat_arrays([spaced, firsts]))
+        out = self.cut(lay(flat, sizes, place), np.add.reduceat(sizes[place], begins[:-1]))
+        if whole:
+            pieces = [self.split(t) for t in texts.take(pa.array(whole)).to_pylist()]
+            flat, sizes = self.pieces(pa.array(chain.from_iterable(pieces), pa.string()))
+            ends = np.cumsum([len(p) for p in pieces])
+            for k, ids in zip(whole, self.cut(flat, np.add.reduceat(sizes, np.concatenate(([0], ends[:-1])))), strict=True):
+                out[k] = ids
         return out
 
-    def ids(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece."""
+    @staticmethod
+    def cut(flat: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        laid, ends = flat.tobytes(), (4 * sizes.cumsum()).tolist()
+        return [laid[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces end to end, and how many each has; a piece's ids are those of its parts."""
+        found = pc.extract_regex(pieces, PARTS)
+        columns = [pc.fill_null(pc.struct_field(found, k), "") for k in range(5)]
+        columns[0] = pc.if_else(pc.is_null(found), pieces, columns[0])
+        coded = pa.concat_arrays(columns).dictionary_encode()
+        known = self.ids(strings(coded.dictionary))
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        place = coded.indices.to_numpy().astype(np.int64).reshape(5, -1).T.ravel()
+        return lay(np.frombuffer(b"".join(known), "<u4"), sizes, place), sizes[place].reshape(-1, 5).sum(axis=1)
+
+    def ids(self, parts: list[str]) -> list[bytes]:
+        """The ids of each part."""
         if len(self.new) > self.most // 2:
             self.old, self.new = self.new, {}
-        missing = set(pieces).difference(self.new)
+        missing = set(parts).difference(self.new)
         again = missing.intersection(self.old)
         self.new.update(zip(again, map(self.old.__getitem__, again), strict=True))
-        missing -= again
-        self.learn([p for p in missing if (p[:1] == " " or p[:1].isalnum()) and "\x01" not in p])
-        for piece in missing.difference(self.new):
-            self.new[piece] = ids_bytes(self.tokenizer.encode(piece, add_special_tokens=False).ids)
-        return list(map(self.new.__getitem__, pieces))
-
-    def learn(self, pieces: list[str], at_once: int = 100) -> None:
-        """Encode pieces that begin with a space, a letter or a digit, many in one text."""
+        self.learn(missing - again)
+        return list(map(self.new.__getitem__, parts))
+
+    def learn(self, parts: set[str], at_once: int = 100) -> None:
+        """Encode new parts; those that begin with a space, a letter or a digit, many in one text."""
         size, last = 4 * len(self.mark), self.mark[-1]
-        groups = [pieces[k : k + at_once] for k in range(0, len(pieces), at_once)]
+        joined = [p for p in parts if (p[:1] == " " or p[:1].isalnum()) and "\x01" not in p]
+        groups = [joined[k : k + at_once] for k in range(0, len(joined), at_once)]
         done = self.tokenizer.encode_batch_fast([self.MARK.join([*g, ""]) for g in groups], add_special_tokens=False)
         for group, encoding in zip(groups, done, strict=True):
             ids = np.array(encoding.ids, "<u4")
             ends = (4 * np.flatnonzero(ids == last) + 4).tolist()
             if len(ends) == len(group):  # else the mark's id stands for something else as well
-                whole = ids.tobytes()
-                self.new.update(zip(group, (whole[a : b - size] for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
+                laid = ids.tobytes()
+                self.new.update(zip(group, (laid[a : b - size] for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
+        for part in parts.difference(self.new):
+            self.new[part] = ids_bytes(self.tokenizer.encode(part, add_special_tokens=False).ids)
 
 
 @lru_cache(maxsize=2)
