@@ -34,7 +34,7 @@ class Plan:
     A signature has `symbols` MinHash values of 16 bits.  Two sets of
     similarity s agree in a symbol with probability s, so pairs of at least
     `percent` differ in at most `errors` symbols, but for about one pair in
-    10^6 at the very threshold.  The symbols are split into `chunks` chunks of
+    10^5 at the very threshold.  The symbols are split into `chunks` chunks of
     which, by pigeonhole, one holds one error at most.
     """
 
