@@ -37,7 +37,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     verdicts = neardup.near_copies(docs, shingle=5, percent=80)
     gone = written(verdicts.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "gone")
     few = gone.count() <= 2_000_000  # 8 bytes each
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*COLUMNS)
+    return pick(docs, *COLUMNS).join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
