@@ -5,7 +5,6 @@ from __future__ import annotations
 import corpus_pipeline
 import public_tokenizers
 import pytest
-from pyspark.sql import functions as F
 
 from tableloom.llm import decontaminate, html, licenses, neardup, packing, quality, sharding, token_counts, token_files, toxicity
 
@@ -111,5 +110,5 @@ def test_pipeline_stages(spark, name, stage, tmp_path):
 
 def test_clashing_names_of_one_spelling(spark):
     """Of several columns of one name the first is taken."""
-    twice = messy(spark).select("doc_id", "text", F.lit("other").alias("text"))
+    twice = spark.createDataFrame([(3, "one", "some other text")], "doc_id long, text string, other string").toDF("doc_id", "text", "text")
     assert {r.n_words for r in quality.quality(twice).where("doc_id = 3").collect()} == {1}
