@@ -53,7 +53,7 @@ class Encoder:
 
     MARK = " \x01"
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -94,6 +94,7 @@ class Encoder:
             ends = np.cumsum([len(p) for p in pieces])
             for k, ids in zip(whole, self.cut(flat, np.add.reduceat(sizes, np.concatenate(([0], ends[:-1])))), strict=True):
                 out[k] = ids
+        pa.default_memory_pool().release_unused()
         return out
 
     @staticmethod

@@ -76,7 +76,7 @@ def raw(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return pc.cast(pc.cast(column, pa.large_string()), pa.large_binary()).to_pylist()
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 3_000_000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most `most` bytes of the column, or one row."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
