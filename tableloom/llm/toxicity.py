@@ -27,12 +27,16 @@ class Lexicon:
     """Terms and stems with their weights; a stem stands for every word that begins with it.
 
     `innocent` words are no misspelt terms, though one letter from one.
+    `covered` words begin with a stem, which their misspellings count for.
+    `first_letter`: whether the first letter can be the wrong one.
     """
 
     terms: dict[str, float]
     stems: dict[str, float] = field(default_factory=dict)
     innocent: frozenset[str] = frozenset()
     fuzzy_from: int = 5
+    covered: dict[str, str] = field(default_factory=dict)
+    first_letter: bool = False
 
 
 class Automaton:
@@ -40,7 +44,8 @@ class Automaton:
 
     A state is the set of trie nodes that a word's beginning can reach, each
     with the fewest errors on the way.  Only terms of `fuzzy_from` letters or
-    more admit an error, and never in the first letter.
+    more admit an error, in the first letter if the lexicon says so; words that
+    a stem stands for are terms here too.
     """
 
     def __init__(self, lexicon: Lexicon):
@@ -50,7 +55,7 @@ class Automaton:
         self.term: list[str | None] = [None]
         self.stem: list[str | None] = [None]
         self.long: list[bool] = [False]
-        for word, ends in [*((w, self.term) for w in lexicon.terms), *((w, self.stem) for w in lexicon.stems)]:
+        for word, ends in [*((w, self.term) for w in [*lexicon.terms, *lexicon.covered]), *((w, self.stem) for w in lexicon.stems)]:
             node = 0
             for ch in word:
                 if ends is self.term and len(word) >= lexicon.fuzzy_from:
@@ -80,7 +85,7 @@ class Automaton:
         for node, errors in self.sets[state]:
             if ch in self.children[node]:
                 reach(self.children[node][ch], errors)
-            if node and not errors and self.long[node]:
+            if (node or self.lexicon.first_letter) and not errors and self.long[node]:
                 reach(node, 1)  # ch is too much
                 for child in self.children[node].values():
                     if self.long[child]:
@@ -97,7 +102,7 @@ class Automaton:
         return self.states[key]
 
     def match(self, word: str) -> tuple[str, int] | None:
-        """(term or stem, errors) of the best match, or None."""
+        """(term or stem, errors) of the best match, or None; a covered word gives its stem."""
         state = 0
         for ch in word:
             follow = self.next[state]
@@ -116,7 +121,7 @@ class Automaton:
                 for child in self.children[node].values():
                     if self.term[child] and self.long[child] and best is None:
                         best = self.term[child], 1
-        return best
+        return best and (self.lexicon.covered.get(best[0], best[0]), best[1])
 
 
 class Scorer:
@@ -222,8 +227,9 @@ def _lexicon(counts: DataFrame, n_toxic: int, n_clean: int, most: int) -> Lexico
         # a stem must be more than one frequent word's beginning, and not another stem's continuation
         if r.toxic > 1.5 * max((n for w, n in words.items() if w.startswith(r.word)), default=0) and not any(r.word.startswith(s) for s in stems):
             stems[r.word] = r.w
-    terms = {r.word: r.w for r in rows if not r.stem and not any(r.word.startswith(s) for s in stems)}
-    return Lexicon(terms, stems)
+    covered = {w: s for w in words for s in stems if w.startswith(s)}
+    terms = {r.word: r.w for r in rows if not r.stem and r.word not in covered}
+    return Lexicon(terms, stems, covered=covered, first_letter=True)
 
 
 def _innocent(sample: DataFrame, lexicon: Lexicon) -> frozenset[str]:

@@ -50,6 +50,27 @@ def test_stems_and_errors():
     assert scorer.find("bag") is None
 
 
+def test_errors_in_the_first_letter_and_inside_stems(spark):
+    rng = random.Random(7)
+    terms = ["idiot", "moron", "stupid", "scumbag", "worthless", "vile"]
+    automaton = Automaton(Lexicon(dict.fromkeys(terms, 1.0), first_letter=True))
+    for _ in range(3000):
+        w = list(rng.choice(terms))
+        for _ in range(rng.randrange(3)):
+            k = rng.choice([0, rng.randrange(len(w) + 1)])
+            w[k : k + rng.randrange(2)] = rng.choices(string.ascii_lowercase, k=rng.randrange(2))
+        w = "".join(w) or "x"
+        near = {t: d for t in terms if (d := distance(w, t)) == 0 or d == 1 and len(t) >= 5}
+        met = automaton.match(w)
+        assert (met and met[1]) == (min(near.values()) if near else None), w
+        assert not met or near[met[0]] == met[1], w
+    rows = [("stupid", False, 20, 0), ("stupidity", False, 20, 0), ("stup", True, 40, 0), ("moron", False, 20, 0)]
+    scorer = Scorer(toxicity._lexicon(spark.createDataFrame(rows, "word string, stem boolean, toxic bigint, clean bigint"), 200, 200, 100))
+    assert scorer.find("stupids") == ("stup", 0)
+    assert scorer.find("stpuid") is None and scorer.find("stpid") == scorer.find("tupidity") == ("stup", 1)
+    assert scorer.find("xmoron") == scorer.find("noron") == scorer.find("oron") == ("moron", 1)
+
+
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.1"])
 def test_held_out_accuracy(spark, sf):
     """Rows whose labels were never seen: most toxic ones are caught and next to no clean one."""
