@@ -201,7 +201,7 @@ def _counts(sample: DataFrame, stem_lengths: range) -> DataFrame:
                 words = {w for w in TOKEN.findall(text.lower()) if len(w) > 2} if text else set()
                 found = {(w, False) for w in words} | {(w[:n], True) for w in words for n in stem_lengths if len(w) > n}
                 seen[toxic].update(found)
-        keys = list(seen[1].keys() | {k for k in seen[0] if seen[0][k] > 1})
+        keys = list(seen[1].keys() | seen[0].keys())
         yield pa.record_batch(
             [pa.array([k for k, _ in keys], pa.string()), pa.array([s for _, s in keys], pa.bool_()), *(pa.array([seen[t][k] for k in keys], pa.int64()) for t in (1, 0))],
             names=["word", "stem", "toxic", "clean"],

@@ -71,6 +71,14 @@ def test_errors_in_the_first_letter_and_inside_stems(spark):
     assert scorer.find("xmoron") == scorer.find("noron") == scorer.find("oron") == ("moron", 1)
 
 
+def test_counts_do_not_depend_on_partitions(spark):
+    rows = [(f"word{k % 3} other{k}", 0) for k in range(30)] + [("word0 vile", 1)]
+    sample = spark.createDataFrame(rows, "text string, toxic int")
+    counted = [sorted(map(tuple, toxicity._counts(s, range(4, 6)).collect())) for s in (sample.coalesce(1), sample.repartition(31))]
+    assert counted[0] == counted[1]
+    assert ("word1", False, 0, 10) in counted[1] and ("other7", False, 0, 1) in counted[1]
+
+
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.1"])
 def test_held_out_accuracy(spark, sf):
     """Rows whose labels were never seen: most toxic ones are caught and next to no clean one."""
