@@ -19,6 +19,17 @@ BOILERPLATE = (
 )
 #: Lower-case patterns of lines that lead elsewhere.
 NAVIGATION = r"^\s*(home|menu|sign in|log ?in|register|next|previous|back to top|skip to (main )?content|read more|click here|share( this)?)\b.{0,40}$"
+#: Share of a line's words that boilerplate phrases must have, unless the line begins as a notice and is short.
+PHRASE_SHARE, NOTICE_WORDS = 1 / 8, 40
+#: Lower-case beginnings of notices.
+NOTICE = r"^\W*(copyright\W*(©|\(c\)|\d{4})|all rights reserved|((this|the) \S+ (\S+ )?is )?licensed under|released under the )"
+#: Lines in the form of links: the phrase alone, or without a sentence's end a phrase, few words, capitalised words or entries with separators.
+LINK_ALONE = r"(?i)^\s*(sign in|log ?in|back to top|skip to (main )?content|read more|click here|share this)\W*$"
+LINK = (
+    r"^\s*((?i:home|menu|sign in|log ?in|register|next|previous|share)(\s+\S+){0,2}|\S+\s*[|>»›·•→:].*"
+    r"|(?i:sign in|log ?in|back to top|skip to (main )?content|read more|click here|share this)\b.*|(\p{Lu}\S*\s*)+)$"
+)
+SENTENCE_END = r"[.!?…,;][\"'”’)]*\s*$"
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -66,18 +77,22 @@ def line_fails(line: Column, min_symbol_share: float = 0.3, min_shout_share: flo
     its words, or that share `min_shout_share` of its words ending in two or
     more of ``!?``.  Navigation: bars, arrows or chevrons standing between
     short entries count as symbols; a short line that begins with a
-    navigation word.  Boilerplate: notices of rights, licences, cookies.
-    A line without words breaks none.
+    navigation word and has the form of a link, not of a sentence.
+    Boilerplate: phrases of notices of rights, licences, cookies that are at
+    least `PHRASE_SHARE` of the line's words, or a line of up to
+    `NOTICE_WORDS` words that begins as a notice does.  A phrase in prose does
+    not count, however long the line.  A line without words breaks none.
     """
     low = F.lower(line)
+    phrases = F.regexp_count(F.array_join(F.regexp_extract_all(low, F.lit(BOILERPLATE), 0), " "), F.lit(WORD))
     return _let(
         F.regexp_count(line, F.lit(WORD)),
         lambda n: (n > 0)
         & (
             (F.regexp_count(line, F.lit(r"[#*$%&|<>]+")) >= min_symbol_share * n)
             | (F.regexp_count(line, F.lit(r"[!?]{2,}")) >= min_shout_share * n)
-            | low.rlike(NAVIGATION)
-            | low.rlike(BOILERPLATE)
+            | (low.rlike(NAVIGATION) & (line.rlike(LINK_ALONE) | (~line.rlike(SENTENCE_END) & line.rlike(LINK))))
+            | (low.rlike(BOILERPLATE) & ((phrases >= PHRASE_SHARE * n) | ((n <= NOTICE_WORDS) & low.rlike(NOTICE))))
         ),
     )
 
