@@ -29,7 +29,9 @@ DROPPED_NAMES = frozenset(
     " notice notices notification overlay pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar"
     " signup skip social sponsor sponsored subscribe subscription toolbar widget widgets alert".split()
 )
-COMMENT_NAMES = frozenset("comment comments reply respond".split())
+COMMENT_NAMES = frozenset("comment comments commentlist discussion disqus replies reply respond".split())
+#: Parts of names that tell what a wrapper has or lacks, not what it is.
+TELLING = frozenset("has no with without is not free show hide enable disable".split())
 #: Elements whose start ends an open one of the second kind.
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 SCOPES = frozenset("article aside body div footer form header html main nav section table ul ol dl blockquote".split())
@@ -39,17 +41,20 @@ class Lines(HTMLParser):
     """Parser events gathered into lines: one for each block of text.
 
     A line is (text, tags before and in it, characters inside links, region,
-    heading); region is the number of the innermost article or main element
-    around it, 0 for none.  Text in dropped elements makes no line.
+    heading, names); region is the number of the outermost article or main
+    element around it, 0 for none; names are the numbers of the elements around
+    it that their attributes name as no part of the article, judged at the end.
+    Text in dropped elements makes no line.
     """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, bool]] = []
-        self.open: list[tuple[str, bool, int, bool]] = []  # tag, dropped, region, in a header of an article
+        self.lines: list[tuple[str, int, int, int, bool, tuple[int, ...]]] = []
+        self.open: list[tuple[str, bool, int, bool, tuple[int, ...]]] = []  # tag, dropped, region, in a header of an article, names
+        self.comments: list[bool] = []  # of each named element, whether it holds comments
         self.regions = self.tags = self.linked = 0
         self.parts: list[str] = []
-        self.place = (0, False)  # region and heading of the line's first text
+        self.place = (0, False, ())  # region, heading and names of the line's first text
 
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -70,24 +75,49 @@ class Lines(HTMLParser):
             self.leave(CLOSES[tag])
         elif tag in BLOCKS:
             self.leave({"p"})
-        _, dropped, region, header = self.open[-1] if self.open else ("", False, 0, False)
+        _, dropped, region, header, names = self.open[-1] if self.open else ("", False, 0, False, ())
         if not dropped:
-            dropped = tag in DROPPED or tag == "header" and not region or self.named(tag, dict(attrs))
+            dropped = tag in DROPPED or tag == "header" and not region or self.hidden(dict(attrs))
             header = header or tag == "header" and bool(region)
-        if tag in ("article", "main") and not dropped:
+        if not dropped and (found := self.named(tag, dict(attrs))):
+            names = (*names, len(self.comments))
+            self.comments.append(not found.isdisjoint(COMMENT_NAMES))
+        if tag in ("article", "main") and not dropped and not region:
             self.regions += 1
             region = self.regions
-        self.open.append((tag, dropped, region, header))
+        self.open.append((tag, dropped, region, header, names))
 
     @staticmethod
-    def named(tag: str, attrs: dict[str, str | None]) -> bool:
-        """Whether attributes hide an element or name it as something around the article."""
-        if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style") or "", re.I):
-            return True
+    def hidden(attrs: dict[str, str | None]) -> bool:
+        return "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style") or "", re.I))
+
+    @staticmethod
+    def named(tag: str, attrs: dict[str, str | None]) -> set[str]:
+        """The names among attributes of something around the article: a whole token, or its first or last part."""
         if tag in ("html", "body", "main"):
-            return False
-        words = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", " ".join(attrs.get(k) or "" for k in ("class", "id", "role"))).lower()))
-        return not words.isdisjoint(COMMENT_NAMES if tag == "article" else DROPPED_NAMES)
+            return set()
+        found = set()
+        for token in " ".join(attrs.get(k) or "" for k in ("class", "id", "role")).split():
+            parts = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower())
+            if parts and TELLING.isdisjoint(parts):
+                found |= {parts[0], parts[-1]}
+        return found & (COMMENT_NAMES if tag == "article" else DROPPED_NAMES)
+
+    def kept(self) -> list[tuple[str, int, int, int, bool]]:
+        """Lines outside named elements; one that holds most of the text is the article's wrapper if no region is elsewhere."""
+        total = sum(len(x[0]) for x in self.lines)
+        sizes = [0] * len(self.comments)
+        for text, *_, names in self.lines:
+            for k in names:
+                sizes[k] += len(text)
+        around = {k for k, size in enumerate(sizes) if self.comments[k] or 2 * size <= total or any(x[3] and k not in x[5] for x in self.lines)}
+        out, tags = [], 0
+        for text, n, linked, region, heading, names in self.lines:
+            tags += n
+            if around.isdisjoint(names):
+                out.append((text, tags, linked, region, heading))
+                tags = 0
+        return out
 
     def leave(self, tags: set[str]) -> None:
         """End an open element of these within the innermost scope."""
@@ -119,12 +149,12 @@ class Lines(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        _, dropped, region, header = self.open[-1] if self.open else ("", False, 0, False)
+        _, dropped, region, header, names = self.open[-1] if self.open else ("", False, 0, False, ())
         heading = any(t in HEADINGS for t, *_ in self.open)
         if dropped or header and not heading:
             return
         if not self.parts or self.parts == [" "]:
-            self.place = (region, heading)
+            self.place = (region, heading, names)
         self.parts.append(data)
         if any(t == "a" for t, *_ in self.open):
             self.linked += len(data)
@@ -139,7 +169,7 @@ def lines_of(html: str) -> list[tuple[str, int, int, int, bool]]:
         except AssertionError:
             continue
         parser.end_line()
-        return parser.lines
+        return parser.kept()
     return []
 
 
@@ -158,21 +188,24 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
         return ""
     ratio = np.array([max(0, len(text) - linked) / max(1, tags) for text, tags, linked, *_ in lines])
     smoothed = smooth(ratio, sigma)
-    content = smoothed >= min(smoothed.std(), smoothed.max())
     region = np.array([x[3] for x in lines])
     size = np.array([len(x[0]) for x in lines])
-    if region.any():
-        # the article whose content lines hold most text; all of it belongs to the page's main text
-        marked = sorted({*region.tolist()} - {0})
-        best = max(marked, key=lambda r: (size[content & (region == r)].sum(), size[region == r].sum(), -r))
-        chosen = region == best
-    else:
-        # the cluster of content lines; a line between two of them belongs to it unless it is mostly links
-        at = np.flatnonzero(content)
-        links = np.array([2 * linked > len(text) for text, _, linked, *_ in lines])
-        chosen = ~links
-        chosen[: at[0]] = [x[4] for x in lines[: at[0]]]
-        chosen[at[-1] + 1 :] = False
+    content = smoothed >= min(smoothed.std(), smoothed.max())
+    # articles are a prior: nothing outside counts if they have most content
+    if 2 * size[content & (region > 0)].sum() < size[content].sum():
+        region[:] = 0
+    links = np.array([2 * linked > len(text) for text, _, linked, *_ in lines])
+    headings = np.array([x[4] for x in lines])
+    chosen = np.zeros(len(lines), bool)
+    for r in sorted({*region.tolist()} - {0}) or [0]:
+        own = np.flatnonzero(region == r)
+        at = own[content[own]]
+        if r and len(at):
+            # prose of an article stays, however short; lines of links only among content
+            chosen[own] = ~links[own] | headings[own] | content[own]
+        elif len(at):
+            # the cluster of content lines; a line between two of them belongs to it unless it is mostly links
+            chosen[own] = np.where(own < at[0], headings[own], ~links[own] & (own <= at[-1]))
     return " ".join(x[0] for x, c in zip(lines, chosen.tolist(), strict=True) if c)
 
 
@@ -184,9 +217,10 @@ def extract(pages: DataFrame) -> DataFrame:
     block; lines inside menus, headers, footers, sidebars, notices, adverts,
     forms, scripts, styles and comments are dropped.  The others' text-to-tag
     ratios are smoothed by a Gaussian and those over a threshold (one standard
-    deviation) are content.  The article or main element with most content is
-    the main text, with its short lines; on a page without such an element, it
-    is the cluster of content lines.  Null or empty html gives an empty text
+    deviation) are content.  If article and main
+    elements have most of it, the main text is every one of them that has
+    content, without lines of links that are no content; else it is the page's
+    cluster of content lines.  Null or empty html gives an empty text
     and n_chars 0; a broken page gives what the parser can read of it.  One row
     out for each row in, repeated rows included; nothing is shuffled.
     """

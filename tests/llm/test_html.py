@@ -24,6 +24,20 @@ PAGES = {
     "markup comment": (f"<body><article><!-- hidden --><p>{BODY}</p></article></body>", P),
 }
 
+WHOLE = {
+    "sibling articles": (f"<body><article><p>{BODY}</p></article><article><p>{BODY}</p></article></body>", f"{P} {P}"),
+    "article in main": (f"<body><main><h1>Title</h1><p>{BODY}</p><article><p>{BODY}</p></article></main></body>", f"Title {P} {P}"),
+    "article with links at its end": (f"<body><article><p>{BODY}</p><p>{BODY}</p><p>{BODY}</p>" + "<p><a href=x>Other story</a></p>" * 6 + "</article></body>", f"{P} {P} {P}"),
+    **{f"wrapper {c}": (f"<body><div class='{c}'><p>{BODY}</p></div></body>", P) for c in ("layout has-sidebar", "no-comments", "ad-free", "widget")},
+    "named by a part": (f"<body><article><p>{BODY}</p><div class=post-footer><p>{BODY}</p></div></article></body>", P),
+}
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_whole_pages(name):
+    html, want = WHOLE[name]
+    assert main_text(html) == want
+
 
 @pytest.mark.parametrize("name", PAGES)
 def test_page(name):
