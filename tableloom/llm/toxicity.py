@@ -20,15 +20,20 @@ TOKEN = re.compile(r"\w+")
 REPORTING = frozenset("said says quote quoted quotes quoting called calls calling term word wrote writes".split())
 QUOTES = frozenset("\"“”«»„‟`")
 FEATURES = 6
+#: The errors that learned lexicons admit; see Lexicon.
+ERRORS = {"two_from": 8, "short_from": 4, "swaps": True}
 
 
 @dataclass(frozen=True)
 class Lexicon:
     """Terms and stems with their weights; a stem stands for every word that begins with it.
 
-    `innocent` words are no misspelt terms, though one letter from one.
+    `innocent` words are no misspelt terms, though near one.
     `covered` words begin with a stem, which their misspellings count for.
-    `first_letter`: whether the first letter can be the wrong one.
+    `first_letter`: whether the first letter can be wrong.  Terms of
+    `fuzzy_from` letters or more admit one error, of `two_from` or more two;
+    those of `short_from` or more one wrong letter, but not the first.
+    `swaps`: whether two neighbours in the wrong order are one error.
     """
 
     terms: dict[str, float]
@@ -37,64 +42,88 @@ class Lexicon:
     fuzzy_from: int = 5
     covered: dict[str, str] = field(default_factory=dict)
     first_letter: bool = False
+    two_from: int = 1 << 30
+    short_from: int = 1 << 30
+    swaps: bool = False
+
+    def errors(self, term: str) -> int:
+        """How many errors a term admits."""
+        n = len(term)
+        return (n >= self.fuzzy_from or n >= self.short_from) + (n >= self.two_from)
 
 
 class Automaton:
-    """The trie of a lexicon met with the Levenshtein automata (distance 1) of words, determinised as words come.
+    """The trie of a lexicon met with the Levenshtein automata of words, determinised as words come.
 
-    A state is the set of trie nodes that a word's beginning can reach, each
-    with the fewest errors on the way.  Only terms of `fuzzy_from` letters or
-    more admit an error, in the first letter if the lexicon says so; words that
-    a stem stands for are terms here too.
+    A state is the set of what a word's beginning can reach: trie nodes with
+    the fewest errors on the way, and, where neighbours may be swapped, nodes
+    that wait for the letter which the word has brought too late.  Words that a
+    stem stands for are terms here too.
     """
 
     def __init__(self, lexicon: Lexicon):
         self.lexicon = lexicon
-        #: node: children by letter, the term that ends here, the stem that ends here, whether a term below admits an error
+        #: node: children by letter, the term that ends here, the stem that ends here, the errors that a term below admits
         self.children: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
         self.stem: list[str | None] = [None]
-        self.long: list[bool] = [False]
+        self.most: list[int] = [0]
         for word, ends in [*((w, self.term) for w in [*lexicon.terms, *lexicon.covered]), *((w, self.stem) for w in lexicon.stems)]:
-            node = 0
+            node, most = 0, lexicon.errors(word) if ends is self.term else 0
             for ch in word:
-                if ends is self.term and len(word) >= lexicon.fuzzy_from:
-                    self.long[node] = True
+                self.most[node] = max(self.most[node], most)
                 if ch not in self.children[node]:
                     self.children[node][ch] = len(self.children)
                     self.children.append({})
                     self.term.append(None)
                     self.stem.append(None)
-                    self.long.append(False)
+                    self.most.append(0)
                 node = self.children[node][ch]
             ends[node] = word
-            if ends is self.term and len(word) >= lexicon.fuzzy_from:
-                self.long[node] = True
-        self.states = {((0, 0),): 0}
-        self.sets: list[tuple] = [((0, 0),)]
-        self.next: list[dict[str, int]] = [{}]
+            self.most[node] = max(self.most[node], most)
+        first = self._state({(0, ""): 0})
+        self.states, self.sets, self.next = {first: 0}, [first], [{}]
+
+    def _state(self, reached: dict[tuple[int, str], int]) -> tuple:
+        """What is reached, with what lacking letters of the word reach besides, in a fixed order."""
+        queue = [(node, n) for (node, wait), n in reached.items() if not wait]
+        while queue:
+            node, n = queue.pop()
+            if not node and not self.lexicon.first_letter:
+                continue
+            for child in self.children[node].values():
+                if n < self.most[child] and n + 1 < reached.get((child, ""), 99):
+                    reached[child, ""] = n + 1
+                    queue.append((child, n + 1))
+        return tuple(sorted((node, wait, n) for (node, wait), n in reached.items()))
 
     def step(self, state: int, ch: str) -> int:
         """The next state, or -1 if no term or stem can follow."""
-        reached: dict[int, int] = {}
-
-        def reach(node: int, errors: int) -> None:
-            if errors < reached.get(node, 2):
-                reached[node] = errors
-
-        for node, errors in self.sets[state]:
-            if ch in self.children[node]:
-                reach(self.children[node][ch], errors)
-            if (node or self.lexicon.first_letter) and not errors and self.long[node]:
-                reach(node, 1)  # ch is too much
-                for child in self.children[node].values():
-                    if self.long[child]:
-                        reach(child, 1)  # ch stands for another letter
-                        if ch in self.children[child]:
-                            reach(self.children[child][ch], 1)  # a letter lacks before ch
+        reached: dict[tuple[int, str], int] = {}
+
+        def reach(node: int, n: int, wait: str = "") -> None:
+            if n <= self.most[node] and n < reached.get((node, wait), 99) or not n:
+                reached[node, wait] = n
+
+        for node, wait, n in self.sets[state]:
+            if wait:
+                if wait == ch:
+                    reach(node, n)
+                continue
+            follow = self.children[node]
+            if ch in follow:
+                reach(follow[ch], n)
+            if n < self.most[node] and (node or self.lexicon.first_letter):
+                reach(node, n + 1)  # ch is too much
+                for letter, child in follow.items():
+                    if letter == ch:
+                        continue
+                    reach(child, n + 1)  # ch stands for another letter
+                    if self.lexicon.swaps and ch in self.children[child]:
+                        reach(self.children[child][ch], n + 1, letter)  # the letter comes after ch
         if not reached:
             return -1
-        key = tuple(sorted(reached.items()))
+        key = self._state(reached)
         if key not in self.states:
             self.states[key] = len(self.sets)
             self.sets.append(key)
@@ -102,26 +131,26 @@ class Automaton:
         return self.states[key]
 
     def match(self, word: str) -> tuple[str, int] | None:
-        """(term or stem, errors) of the best match, or None; a covered word gives its stem."""
+        """(term or stem, errors) of the match with fewest errors (ties: the first term), or None; a covered word gives its stem."""
         state = 0
         for ch in word:
             follow = self.next[state]
             state = follow[ch] if ch in follow else follow.setdefault(ch, self.step(state, ch))
             if state < 0:
                 return None
-            for node, errors in self.sets[state]:
-                if not errors and self.stem[node]:
+            for node, _, n in self.sets[state]:
+                if not n and self.stem[node]:
                     return self.stem[node], 0
-        best = None
-        for node, errors in self.sets[state]:
-            if self.term[node] and (not errors or len(self.term[node]) >= self.lexicon.fuzzy_from) and (best is None or errors < best[1]):
-                best = self.term[node], errors
-            # the word ends one letter early
-            if not errors and self.long[node]:
-                for child in self.children[node].values():
-                    if self.term[child] and self.long[child] and best is None:
-                        best = self.term[child], 1
-        return best and (self.lexicon.covered.get(best[0], best[0]), best[1])
+        found = [(n, self.term[node]) for node, wait, n in self.sets[state] if not wait and self.term[node] and self._admits(self.term[node], n, word)]
+        if not found:
+            return None
+        n, term = min(found)
+        return self.lexicon.covered.get(term, term), n
+
+    def _admits(self, term: str, n: int, word: str) -> bool:
+        if n and len(term) < self.lexicon.fuzzy_from:
+            return n <= self.lexicon.errors(term) and len(word) == len(term) and word[0] == term[0]
+        return n <= self.lexicon.errors(term)
 
 
 class Scorer:
@@ -212,8 +241,12 @@ def _counts(sample: DataFrame, stem_lengths: range) -> DataFrame:
 
 
 def _lexicon(counts: DataFrame, n_toxic: int, n_clean: int, most: int) -> Lexicon:
+    """Words and stems that stand in toxic documents far more than in clean ones, and in more of them than chance gives any word of the sample."""
     weight = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
-    least = max(3, round(n_toxic * 0.02))
+    # a word that stands in k documents has them all toxic by chance once in (share of toxic ones) ** -k words
+    tried = counts.where("toxic > 0").count()
+    chance = math.log(max(tried / 10, 1)) / math.log((n_toxic + n_clean) / n_toxic)  # about ten such words are let in
+    least = max(3, round(n_toxic * 0.02), math.ceil(chance))
     rows = (
         counts.withColumn("w", weight)
         .where((F.col("toxic") >= F.when(F.col("stem"), 2 * least).otherwise(least)) & (F.col("w") >= 3.0) & (F.col("clean") * n_toxic <= F.col("toxic") * n_clean * 0.02))
@@ -276,8 +309,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_rows: int = 8000, most_terms
     Input: documents with `doc_id` and `text`, labels with `doc_id` and `toxic`
     (0 or 1; null rows are left out; toxic if any row of a doc_id is).  At most
     `most_rows` labelled documents are used, half of them toxic where there are
-    so many, taken in the order of a hash of doc_id; the lexicon has at most
-    `most_terms` entries.  Both are the bounds of what the driver sees.  The
+    so many, taken in the order of a hash of doc_id; rows of one doc_id count
+    once, by their smallest text; the lexicon has at most `most_terms` entries.
+    Both are the bounds of what the driver sees, and neither depends on how
+    rows are dealt over partitions.  The
     lexicon comes from one part of the sample and the weights from another, so
     terms that only look telling are found out.  Without toxic or without clean
     labels every score is the share of toxic labels, 0 if there are none.
@@ -287,8 +322,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_rows: int = 8000, most_terms
     order = F.xxhash64(F.lit(5), "doc_id")
     half = most_rows // 2
     chosen = known.where("toxic = 1").orderBy(order, "doc_id").limit(half).union(known.where("toxic = 0").orderBy(order, "doc_id").limit(half))
-    # at most most_rows pairs of numbers
-    sample = pick(docs, "doc_id", text="string").join(F.broadcast(chosen), "doc_id")
+    # at most most_rows pairs of numbers; of rows of one doc_id the smallest text is taken, so the sample has no more rows than that
+    sample = pick(docs, "doc_id", text="string").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     sample = written(sample.select("doc_id", "text", "toxic", F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(2)).alias("part")), "sample")
     sizes = {(r.part, r.toxic): r["count"] for r in sample.groupBy("part", "toxic").count().collect()}
     n = {t: sum(v for (_, u), v in sizes.items() if u == t) for t in (0, 1)}
@@ -297,9 +332,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_rows: int = 8000, most_terms
     apart = all(sizes.get((p, t), 0) >= 150 for p in (0, 1) for t in (0, 1))
     source = sample.where("part = 0") if apart else sample
     used = {t: sizes[0, t] if apart else n[t] for t in (0, 1)}
-    lexicon = _lexicon(_counts(source, range(4, 6)), used[1], used[0], most_terms)
+    counts = written(_counts(source, range(4, 6)), "counts")
+    lexicon = replace(_lexicon(counts, used[1], used[0], most_terms), **ERRORS)
     lexicon = replace(lexicon, innocent=_innocent(source, lexicon))
-    found = features(sample.where("part = 1") if apart else sample, lexicon, extra=("toxic",)).select("toxic", "features").collect()
+    found = features(sample.where("part = 1") if apart else sample, lexicon, extra=("toxic",)).orderBy("doc_id").select("toxic", "features").collect()
     x, y = np.array([r.features for r in found]), np.array([r.toxic for r in found])
     # the sample holds more toxic documents than the corpus, so that 0.7 asks for clear cases
     w, bias = _nonnegative(x, y)

@@ -6,7 +6,7 @@ import random
 import string
 
 import pytest
-from brute import distance
+from brute import distance, swap_distance
 from pyspark.sql import functions as F
 
 from tableloom.llm import queries, toxicity
@@ -97,3 +97,53 @@ def test_scores_do_not_see_labels_source_or_id(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     flipped = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     assert toxicity.fit(docs, labels) == toxicity.fit(docs.withColumn("source", F.lit("x")), flipped)
+
+
+def test_two_errors_swaps_and_short_terms():
+    """Terms of eight letters admit two errors, of five one, of four one wrong letter that is not the first."""
+    rng = random.Random(11)
+    terms = ["idiot", "moron", "stupid", "worthless", "disgusting", "scum", "vile"]
+    lexicon = Lexicon(dict.fromkeys(terms, 1.0), first_letter=True, **toxicity.ERRORS)
+    automaton = Automaton(lexicon)
+    for _ in range(4000):
+        w = list(rng.choice(terms))
+        for _ in range(rng.randrange(4)):
+            k = rng.randrange(len(w) + 1)
+            if rng.random() < 0.3 and 0 < k < len(w):
+                w[k - 1], w[k] = w[k], w[k - 1]
+            else:
+                w[k : k + rng.randrange(2)] = rng.choices(string.ascii_lowercase, k=rng.randrange(2))
+        w = "".join(w) or "x"
+        near = {}
+        for t in terms:
+            d = swap_distance(w, t)
+            if d == 0 or d <= lexicon.errors(t) and (len(t) >= 5 or len(w) == len(t) and w[0] == t[0]):
+                near[t] = d
+        met = automaton.match(w)
+        assert (met and met[1]) == (min(near.values()) if near else None), w
+        assert not met or near[met[0]] == met[1], w
+    found = {w: automaton.match(w)[0] for w in ("idoit", "worhtless", "diot", "xdiot", "scvm", "wrothles")}
+    assert found == {"idoit": "idiot", "worhtless": "worthless", "diot": "idiot", "xdiot": "idiot", "scvm": "scum", "wrothles": "worthless"}
+
+
+def test_models_do_not_depend_on_partitions_or_repeated_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    models = [toxicity.fit(docs.repartition(k), labels.repartition(k)) for k in (1, 4, 16)]
+    assert models[0] == models[1] == models[2]
+    assert toxicity.fit(docs.union(docs).union(docs), labels) == models[0]
+
+
+def test_equal_texts_get_equal_scores_and_repeated_ids_a_row_each(spark):
+    docs = spark.createDataFrame([(1, "you idiot"), (1, "a calm day"), (2, "you idiot"), (2, "you idiot"), (3, None)], "doc_id long, text string")
+    model = toxicity.Model(Lexicon({"idiot": 4.0}), (1.0,) * toxicity.FEATURES, -1.0)
+    scores = [(r.doc_id, r.score) for r in toxicity.score(docs, model).orderBy("doc_id", "score").collect()]
+    assert [k for k, _ in scores] == [1, 1, 2, 2, 3]
+    assert scores[1][1] == scores[2][1] == scores[3][1] > scores[0][1] == scores[4][1]
+
+
+def test_few_words_of_a_sample_pass_by_chance(spark):
+    """Words that stand in a few toxic documents and in no clean one are no terms where the sample has many words."""
+    insult = spark.createDataFrame([("insult", False, 30, 0)], "word string, stem boolean, toxic bigint, clean bigint")
+    counts = insult.union(spark.range(50_000).select(F.concat(F.lit("w"), "id"), F.lit(False), F.lit(3), F.lit(0)))
+    assert set(toxicity._lexicon(counts, 60, 500, 4000).terms) == {"insult"}
