@@ -48,14 +48,14 @@ class Packer:
     A document's whole windows of `size` ids become sequences of their own;
     what remains waits by length.  A window takes the longest waiting rest and
     the multiset of others that fills it closest; the same multiset is used as
-    often as the counts allow.  While documents still come, only full windows
-    are closed; at the end (or when more than `most` rests wait) a gap is
-    closed by cutting a rest, and the last ids, fewer than a window, are cut
-    into sequences of powers of two.  So no sequence needs padding.
+    often as the counts allow.  A gap that no multiset fills is closed by
+    cutting a rest.  What waits in the end, fewer ids than a window, is cut
+    into sequences of powers of two.  So no sequence needs padding, and no more
+    waits between calls of `pack` than a window holds.
     """
 
-    def __init__(self, size: int, first: int, most: int = 8192):
-        self.size, self.sequence, self.most = size, first, most
+    def __init__(self, size: int, first: int):
+        self.size, self.sequence = size, first
         self.waiting: dict[int, list[tuple]] = {}
         self.rows: list[tuple] = []
 
@@ -92,8 +92,8 @@ class Packer:
         self.waiting.setdefault(at, []).append((doc_id, tokens, start, ids[: 4 * at]))
         self.waiting.setdefault(length - at, []).append((doc_id, tokens, start + at, ids[4 * at :]))
 
-    def pack(self, last: bool) -> None:
-        skipped: dict[int, list[tuple]] = {}  # longest rests that nothing waiting now completes
+    def pack(self) -> None:
+        """Close windows until what waits is less than one."""
         while self.waiting:
             longest = max(self.waiting)
             counts = {k: len(v) - (k == longest) for k, v in self.waiting.items() if len(v) > (k == longest)}
@@ -103,19 +103,14 @@ class Packer:
             if not gap:
                 for _ in range(min(len(self.waiting[k]) // n for k, n in used.items())):
                     self.close(used)
-            elif last or sum(map(len, skipped.values())) > self.most:
-                spare = {k for k, v in self.waiting.items() if len(v) > used.get(k, 0) and k > gap}
-                if not spare:
-                    break
-                self.cut_spare(used, gap, spare)
-            else:
-                skipped.setdefault(longest, []).append(self.take(longest))
-        for k, v in skipped.items():
-            self.waiting.setdefault(k, []).extend(v)
-        if last:
-            self.tail()
-
-    def cut_spare(self, used: dict[int, int], gap: int, spare: set[int]) -> None:
+                continue
+            # the fill being closest, whatever it leaves over is longer than the gap
+            spare = {k for k, v in self.waiting.items() if len(v) > used.get(k, 0)}
+            if not spare:
+                break
+            self.cut_spare(used, gap)
+
+    def cut_spare(self, used: dict[int, int], gap: int) -> None:
         """Close `used` with `gap` ids cut off the shortest rest that it leaves over."""
         held = {k: [self.take(k) for _ in range(n)] for k, n in used.items()}
         self.cut(gap)
@@ -163,10 +158,11 @@ def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 0, size: int = 1024,
                 packer.add(doc_id, ids + end)
             n += batch.num_rows
             if n >= window:
-                packer.pack(last=False)
+                packer.pack()
                 n = 0
             yield from _rows(packer)
-        packer.pack(last=True)
+        packer.pack()
+        packer.tail()
         yield from _rows(packer)
 
     return pick(docs, doc_id="bigint", text="string").mapInArrow(run, PIECE_SCHEMA)
