@@ -22,8 +22,10 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str, end_id: int = 1,
 
     Input: `doc_id` (integer) and `text`; further columns are ignored.  A null
     text counts as empty; each document ends with `end_id`.  Null doc_ids come
-    first; rows of one doc_id are ordered by text, so repeated rows are kept
-    and the order is defined.  An empty table gives files without rows.
+    first; rows of one doc_id are ordered by a hash of their text, so repeated
+    rows are kept and the order is defined.  They may spread over files: ranges
+    are of doc_id, hash and place in the input, so no doc_id is one task's load.
+    An empty table gives files without rows.
 
     ORC stores the ids with its run-length encoding for integers; row indexes
     (every `row_index_stride` rows) and a Bloom filter on doc_id let readers
@@ -52,7 +54,8 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str, end_id: int = 1,
             before += int(offsets[-1])
 
     d = pick(docs, doc_id="bigint", text="string")
-    ordered = d.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    placed = d.withColumns({"_hash": F.xxhash64("text"), "_at": F.monotonically_increasing_id()})
+    ordered = placed.repartitionByRange("doc_id", "_hash", "_at").sortWithinPartitions("doc_id", "_hash", "_at").select("doc_id", "text")
     options = {
         "compression": "lz4",
         "orc.create.index": "true",
