@@ -44,7 +44,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary=public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    docs, vocabulary = table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return token_counts.token_counts(docs, vocabulary=vocabulary, scores=token_counts.fitted(docs, vocabulary), white_space=True)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,3 +123,64 @@ def test_reader_positions_do_not_depend_on_files(spark, tmp_path):
         got.append(sorted(map(tuple, token_files.read_tokens(spark, str(tmp_path / str(k))).drop("ids").collect())))
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert got[0] == got[1]
+
+
+def test_one_doc_id_spreads_over_files(spark, tmp_path):
+    """A doc_id of half the rows is written by more than one task, and positions stay gapless."""
+    rows = spark.range(4000).select(F.when(F.col("id") % 2 == 0, None).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    path = str(tmp_path / "tokens")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    token_files.write_tokens(rows, path, tokenizer=public_tokenizers.path("word_bpe_49k.json"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = sorted((r.start, r.n_tokens) for r in token_files.read_tokens(spark, path).drop("ids").collect())
+    assert len(got) == 4000 and all(a + n == b for (a, n), (b, _) in zip(got, got[1:]))
+    assert spark.read.orc(path).where("doc_id IS NULL").select("part").distinct().count() > 1
+
+
+def test_packing_cuts_where_nothing_fills(spark):
+    """Rests that never fill a window together are cut, however many come."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit(" the"), 599).alias("text")).coalesce(1)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids = dict(enumerate(encode(path, [" the" * 599] * 3000, 0)))
+    got = packing.pack(docs, tokenizer=path, window=500).collect()
+    assert check_pieces(got, ids, 1024) == 0
+    assert len({r.sequence_id for r in got}) <= 3000 * 600 // 1024 + 11
+
+
+def test_pre_tokens_make_up_the_whole_text():
+    for text in ODD:
+        assert b"".join(token_counts.PRE_TOKENS.findall(text.encode())) == text.encode()
+    assert token_counts.PRE_TOKENS.findall(b"one  two\n\nthree four ") == [b"one", b" ", b" two", b"\n\n", b"three", b" four", b" "]
+
+
+def test_fitted_unigram_model(spark):
+    """Shares of pieces on the best paths of all pre-tokens, and counts under them, against plain loops."""
+    from collections import Counter
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    prior = token_counts.unigrams(path)
+
+    def best(word: bytes, scores: dict[bytes, float]) -> tuple[bytes, ...]:
+        ways: list = [(0.0, 0, 0)] + [None] * len(word)
+        for end in range(1, len(word) + 1):
+            ways[end] = min(((ways[k][0] - scores[word[k:end]], ways[k][1] + 1, k) for k in range(end) if word[k:end] in scores))
+        out, d = [], len(word)
+        while d:
+            out.append(word[ways[d][2] : d])
+            d = ways[d][2]
+        return tuple(out)
+
+    texts = {r.doc_id: r.text for r in documents(spark).where("doc_id % 5 = 0").collect()} | {-1: "two  spaces\n\nand more ", -2: None, -3: ""}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    words = Counter(w for t in texts.values() for w in token_counts.PRE_TOKENS.findall((t or "").encode()))
+    total = Counter()
+    for w, n in words.items():
+        for piece in best(w, prior):
+            total[piece] += n
+    scores = token_counts.fitted(docs, path)
+    assert scores.keys() == prior.keys()
+    assert all(math.isclose(scores[p], math.log((total[p] + 1) / (total.total() + len(prior)))) for p in prior)
+    n = {w: len(best(w, scores)) for w in words}
+    for r in token_counts.token_counts(docs, vocabulary=path, scores=scores, white_space=True).collect():
+        text = (texts[r.doc_id] or "").encode()
+        assert (r.n_bytes, r.n_words, r.n_tokens) == (len(text), len(text.split()), sum(n[w] for w in token_counts.PRE_TOKENS.findall(text)))
