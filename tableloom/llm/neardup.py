@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, pick, raw, slices, written
+from .shared import LOWER, pick, raw, slices, spread_join, written
 
 SIGNATURE = "doc_id bigint, n bigint, cls binary, sig binary, odd binary"
 
@@ -93,6 +93,10 @@ def odd_sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount((s & np.uint64(bins - 1)).astype(np.int64), minlength=bins).astype(np.uint8) & 1, bitorder="little")
 
 
+def digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
 def signatures(docs: DataFrame, plan: Plan) -> DataFrame:
     """n (size of the set), cls (its digest), signature and odd sketch of each row; the last three null where unused."""
 
@@ -101,9 +105,9 @@ def signatures(docs: DataFrame, plan: Plan) -> DataFrame:
             rows = []
             for text in raw(batch.column("text")):
                 s = shingle_set(text.translate(LOWER).split() if text else [], plan.shingle)
-                digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+                cls = digest(s) if len(s) else None
                 long = len(s) >= plan.least
-                rows.append((len(s), digest, signature(s, plan.symbols).tobytes() if long else None, odd_sketch(s).tobytes() if long else None))
+                rows.append((len(s), cls, signature(s, plan.symbols).tobytes() if long else None, odd_sketch(s).tobytes() if long else None))
             n, cls, sig, odd = zip(*rows, strict=True) if rows else ((),) * 4
             yield pa.record_batch(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (cls, sig, odd))],
@@ -192,34 +196,42 @@ class _Sketches:
         return out
 
 
-def _probable(group: pa.Table, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of a block (a, b, bits apart) within the signature distance which no bound excludes and which meet here first."""
+def _probable(group: pa.Table, plan: Plan, crossing: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a block (a, b, bits apart) within the signature distance which no bound excludes.
+
+    crossing: pairs of different labels, one of them at home in this block.
+    Else all pairs, of which those of a key that is one block count only in the
+    first such key that they share.
+    """
     m = group.num_rows
-    rep, n, side = (group.column(c).to_numpy() for c in ("rep", "n", "side"))
+    rep, n = (group.column(c).to_numpy() for c in ("rep", "n"))
     sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), "<u2").reshape(m, -1)
     sketches = _Sketches(group.column("odd").to_pylist())
-    pos, two = group.column("pos")[0].as_py(), group.column("i")[0].as_py() != group.column("j")[0].as_py()
+    pos, alone = group.column("pos")[0].as_py(), group.column("sides")[0].as_py() == 1
     begins = plan.bounds[:-1]
     chunk = int(np.searchsorted(begins, pos, side="right")) - 1
+    if crossing:
+        label, home = (group.column(c).to_numpy(zero_copy_only=False) for c in ("label", "home"))
+        minor = label != group.column("major")[0].as_py()
+        # of a pair off the major label, the first row looks for the second
+        met = [(a, np.flatnonzero((label != label[a]) & (home | home[a]) & (~minor | (np.arange(m) > a)))) for a in np.flatnonzero(minor).tolist()]
+    else:
+        met = ((a, np.arange(a + 1, m)) for a in range(m - 1))
     found = []
-    for a in range(m - 1):
-        diff = sig[a] != sig[a + 1 :]
-        most = np.maximum(n[a], n[a + 1 :])
-        ok = (diff.sum(axis=1) <= plan.errors) & (100 * np.minimum(n[a], n[a + 1 :]) >= plan.percent * most) & (rep[a] != rep[a + 1 :])
-        if two:
-            ok &= side[a] != side[a + 1 :]
-        at = np.flatnonzero(ok)
-        if not len(at):
+    for a, others in met:
+        most = np.maximum(n[a], n[others])
+        others = others[(100 * np.minimum(n[a], n[others]) >= plan.percent * most) & (rep[a] != rep[others])]
+        diff = sig[a] != sig[others]
+        near = diff.sum(axis=1) <= plan.errors
+        others, diff = others[near], diff[near]
+        if len(others) and alone and not crossing:
+            # of the keys that a pair shares, the first stands for it
+            errors = np.add.reduceat(diff, begins, axis=1)
+            own = (errors <= 1).argmax(axis=1) == chunk
+            others, wrong = others[own], diff[own, begins[chunk] : plan.bounds[chunk + 1]]
+            others = others[begins[chunk] + np.where(wrong.any(axis=1), wrong.argmax(axis=1), 0) == pos]
+        if not len(others):
             continue
-        # of the keys that a pair shares, the first stands for it
-        errors = np.add.reduceat(diff[at], begins, axis=1)
-        first = (errors <= 1).argmax(axis=1)
-        own = np.flatnonzero(first == chunk)
-        at, wrong = at[own], diff[at[own], begins[chunk] : plan.bounds[chunk + 1]]
-        at = at[begins[chunk] + np.where(wrong.any(axis=1), wrong.argmax(axis=1), 0) == pos]
-        if not len(at):
-            continue
-        others = at + a + 1
         bits = sketches.apart(a, others)
         near = bits * (100 + plan.percent) <= (n[a] + n[others]) * (100 - plan.percent)
         found.append((np.full(near.sum(), a), others[near], bits[near]))
@@ -229,27 +241,25 @@ def _probable(group: pa.Table, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.n
     return a, b, bits
 
 
-def _links(members: DataFrame, plan: Plan, crossing: bool) -> DataFrame:
-    """Probable links (a, b) of the blocks.
+def _links(members: DataFrame, plan: Plan, *, crossing: bool, forest: bool) -> DataFrame:
+    """Probable links (a, b) of the blocks (key, side); see `_probable`.
 
-    crossing: all between different labels; else of each block a forest that
-    joins whatever its probable links join, nearest pairs first, which is at
-    most one row for each member.
+    forest: of each block as few as join whatever its probable links join,
+    nearest pairs first, so at most one for each member, or label.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, ["key", "i", "j"]):
-            a, b, bits = _probable(group, plan)
+        for group in _groups(batches, ["key", "side"]):
+            a, b, bits = _probable(group, plan, crossing)
             if not len(a):
                 continue
-            if crossing:
-                label = group.column("label").to_numpy()
-                keep = label[a] != label[b]
-                a, b = a[keep], b[keep]
-            else:
-                forest, kept, left = _Forest(group.num_rows), [], group.num_rows - 1
+            if forest:
+                names = group.column("label" if crossing else "rep").to_numpy()
+                joined, kept = _Forest(len(names)), []
+                place = np.unique(names, return_inverse=True)[1].tolist()
+                left = len(set(place)) - 1
                 for k in np.argsort(bits, kind="stable").tolist():
-                    if forest.join(int(a[k]), int(b[k])):
+                    if joined.join(place[a[k]], place[b[k]]):
                         kept.append(k)
                         left -= 1
                         if not left:
@@ -258,21 +268,30 @@ def _links(members: DataFrame, plan: Plan, crossing: bool) -> DataFrame:
             rep = group.column("rep").to_numpy()
             yield pa.record_batch([pa.array(np.minimum(rep[a], rep[b])), pa.array(np.maximum(rep[a], rep[b]))], names=["a", "b"])
 
-    return members.mapInArrow(run, "a bigint, b bigint")
+    blocks = members.repartition("key", "side").sortWithinPartitions("key", "side", "rep")
+    return blocks.mapInArrow(run, "a bigint, b bigint")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, plan: Plan, most_ids: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, plan: Plan, most_ids: int) -> DataFrame:
     """pairs with `linked`: whether their full shingle sets are similar enough."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    few = ids.count() <= most_ids  # 8 bytes each, so a broadcast of known size
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    ids = written(nodes.select("rep", "doc", "cls").join(ids, "rep").select("rep", F.col("doc").alias("doc_id"), F.col("cls").alias("_cls")), "ids")
+    wanted = ids.count()
+    few = wanted <= most_ids  # 32 bytes each, so a broadcast of known size
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 8_000_000):
-            made = [shingle_set(t.translate(LOWER).split() if t else [], plan.shingle).tobytes() for t in raw(batch.column("text"))]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(made, pa.binary())], names=["doc_id", "items"])
+            rep, out = [], []
+            for r, cls, text in zip(batch.column("rep").to_pylist(), batch.column("_cls").to_pylist(), raw(batch.column("text")), strict=True):
+                s = shingle_set(text.translate(LOWER).split() if text else [], plan.shingle)
+                if digest(s) == cls:  # a doc_id may have other texts besides
+                    rep.append(r)
+                    out.append(s.tobytes())
+            yield pa.record_batch([pa.array(rep, pa.int64()), pa.array(out, pa.binary())], names=["rep", "items"])
 
-    wanted = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    items = written(wanted.mapInArrow(sets, "doc_id bigint, items binary"), "sets")
+    items = written(docs.join(F.broadcast(ids) if few else ids, "doc_id").select("rep", "_cls", "text").mapInArrow(sets, "rep bigint, items binary"), "sets")
+    if items.count() > wanted:  # rows of one doc_id and text
+        items = written(items.dropDuplicates(["rep"]), "sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,9 +302,12 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, plan: Plan, most_ids: int) ->
                 linked.append(100 * both >= plan.percent * (len(x) + len(y) - both))
             yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
-    with_a = pairs.join(items.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a")
-    with_b = with_a.join(items.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b")
-    return with_b.mapInArrow(compare, "a bigint, b bigint, linked boolean")
+    def counts(key: str) -> DataFrame:
+        return pairs.groupBy(key).agg(F.count("*").alias("_n"))
+
+    with_a = spread_join(pairs, items.select(F.col("rep").alias("a"), F.col("items").alias("x")), "a", "b", counts("a"))
+    with_b = spread_join(with_a, items.select(F.col("rep").alias("b"), F.col("items").alias("y")), "b", "a", counts("b"))
+    return with_b.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint, linked boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -293,19 +315,23 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star rounds in turn: each node hangs its larger, then
     its smaller neighbours under the smallest of them, until nothing changes.
-    Each round's edges are written, so none is ever computed twice.
+    Each round's edges are written, so none is ever computed twice; nodes with
+    many neighbours are dealt over tasks (`spread_join`).
     """
+
+    def hung(pairs: DataFrame, name: str) -> DataFrame:
+        """pairs (u, v) with `low`, the smallest v of each u, or u if that is smaller."""
+        low = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"), F.count("*").alias("_n"))
+        low = written(low, name)
+        return spread_join(pairs, low.select("u", "low"), "u", "v", low.select("u", "_n"))
+
     now = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     seen = None
     while True:
-        both = now.union(now.select("b", "a"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        large = both.join(low, "a").where("b > a").select(F.col("low").alias("a"), "b").where("a <> b").distinct()
-        large = written(large, "large")
-        low = large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("low"))
-        hung = large.withColumnRenamed("b", "u").join(low, "u")
-        now = hung.select(F.col("low").alias("a"), F.explode(F.array("a", "u")).alias("b")).where("a <> b").distinct()
-        now = written(now, "small")
+        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
+        large = written(hung(both, "low").where("v > u").select(F.col("low").alias("a"), F.col("v").alias("b")).where("a <> b").distinct(), "large")
+        small = hung(large.select(F.col("b").alias("u"), F.col("a").alias("v")), "lower")
+        now = written(small.select(F.col("low").alias("a"), F.explode(F.array("v", "u")).alias("b")).where("a <> b").distinct(), "small")
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == seen:
             break
@@ -313,7 +339,29 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("b").alias("node"), F.col("a").alias("label")).union(now.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
 
 
-def near_copies(docs: DataFrame, *, shingle: int = 3, percent: int = 85, symbols: int = 64, block: int = 1024, most_ids: int = 2_000_000) -> DataFrame:
+def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Classes of equal sets as nodes, and links between the classes of a doc_id that has several texts (None without any).
+
+    A node is named by its smallest doc_id, `rep`; where two have the same one,
+    all but one take a number that no doc_id reaches, and `doc` keeps the
+    doc_id.
+    """
+    known = rows.where("doc_id IS NOT NULL AND cls IS NOT NULL")
+    firsts = known.groupBy("cls", "n").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig"), F.first("odd").alias("odd"), F.count("*").alias("copies"))
+    nodes = written(firsts.select("*", F.col("doc").alias("rep"), F.monotonically_increasing_id().alias("at")), "nodes")
+    h = F.xxhash64("cls")
+    torn = written(known.groupBy("doc_id").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).where("lo <> hi").select("doc_id"), "torn")
+    if torn.isEmpty():
+        return nodes, None
+    same = nodes.groupBy("doc").agg(F.min("at").alias("first"), F.count("*").alias("k")).where("k > 1").select("doc", "first")
+    last = F.lit(2**63 - 1) - F.col("at")
+    nodes = written(nodes.join(same, "doc", "left").withColumn("rep", F.when(F.col("at") != F.col("first"), last).otherwise(F.col("doc"))).drop("first"), "nodes")
+    held = written(known.join(torn, "doc_id", "left_semi").select("doc_id", "cls").distinct().join(nodes.select("cls", "rep"), "cls").select("doc_id", F.col("rep").alias("b")), "held")
+    low = held.groupBy("doc_id").agg(F.min("b").alias("a"))
+    return nodes, held.join(low, "doc_id").where("a <> b").select("a", "b")
+
+
+def near_copies(docs: DataFrame, *, shingle: int = 3, percent: int = 85, symbols: int = 64, block: int = 1024, most_ids: int = 1_000_000) -> DataFrame:
     """The component of each document in the graph of near copies.
 
     Words are what white space parts, A-Z lowered; a document's set holds its
@@ -323,25 +371,28 @@ def near_copies(docs: DataFrame, *, shingle: int = 3, percent: int = 85, symbols
     Output, a row for each input row: doc_id, n_shingles, component_id (the
     smallest doc_id reached, its own included), kept (doc_id = component_id).
     A text of fewer words is one shingle; null, empty and blank texts have an
-    empty set and no links.  Rows of one doc_id are one document, so repeated
-    rows share their verdict; rows without doc_id never stand for others and
-    are not kept.
+    empty set and no links.  Rows of one doc_id are one document: repeated rows
+    share their verdict, and different texts of one doc_id are linked with each
+    other.  Rows without doc_id never stand for others and are not kept.
 
     Equal sets form a class, which its smallest doc_id represents; so a hot
     group of copies is summed before anything else.  Representatives meet by
     the keys of `keys_of`, of which pairs within `Plan.errors` share one by
-    pigeonhole.  Members of a key are compared in blocks of at most about
-    `block`, each pair in its first shared key only; a block yields a forest,
-    never all its pairs.  Every edge is confirmed on the full sets.  If one
-    fails, which is rare as sketches exclude all but pairs near the threshold,
-    the pairs that then cross components are listed and confirmed as well, so
-    no link within the signature distance is lost.
+    pigeonhole.  Keys of up to `block` members are compared whole.  Larger ones
+    are dealt over blocks, differently for each key, so that most of a large
+    group joins by comparing within blocks; what then lies in one component is
+    never compared again, and only pairs that cross components meet all other
+    blocks.  A block yields a forest, never all its pairs.  Every edge is
+    confirmed on the full sets.  Where one fails, which is rare as sketches
+    exclude all but pairs near the threshold, the forests may hide other links
+    of the components that it touches, so pairs across these are listed and
+    confirmed as well: no link within the signature distance is lost.
     """
     plan = Plan(shingle, percent, symbols)
     d = pick(docs, doc_id="bigint", text="string")
     rows = written(signatures(d, plan), "signatures")
-    firsts = rows.where("doc_id IS NOT NULL AND cls IS NOT NULL").groupBy("cls", "n")
-    nodes = written(firsts.agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("odd").alias("odd")), "nodes")
+    nodes, torn = _classes(rows)
+    signed = nodes.where("sig IS NOT NULL").select("rep", "n", "sig", "odd")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -351,35 +402,52 @@ def near_copies(docs: DataFrame, *, shingle: int = 3, percent: int = 85, symbols
             rep = np.repeat(batch.column("rep").to_numpy(), plan.symbols)
             yield pa.record_batch([pa.array(keys), pa.array(pos), pa.array(rep)], names=["key", "pos", "rep"])
 
-    keys = nodes.where("sig IS NOT NULL").select("rep", "sig").mapInArrow(keyed, "key bigint, pos int, rep bigint")
-    live = written(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "live")
-    sides = F.ceil(F.col("size") / block).cast("int")
-    met = keys.join(live, "key").withColumn("sides", sides).withColumn("side", F.pmod(F.xxhash64("rep"), F.col("sides")).cast("int"))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
-    met = met.select("key", "pos", "rep", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
-    members = met.join(nodes.where("sig IS NOT NULL").select("rep", "n", "sig", "odd"), "rep")
-
-    def blocks(x: DataFrame) -> DataFrame:
-        return x.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
-
-    pairs = written(_links(blocks(members), plan, crossing=False).distinct(), "pairs")
-    checked = written(_confirmed(pairs, d, plan, most_ids), "checked")
-    links = checked.where("linked")
+    def keys(of: DataFrame) -> DataFrame:
+        """Computing keys again costs less than writing them."""
+        return of.select("rep", "sig").mapInArrow(keyed, "key bigint, pos int, rep bigint")
+
+    def met(of: DataFrame, live: DataFrame) -> DataFrame:
+        """The keys of nodes that others have too, and each row's block among `sides`."""
+        sides = F.ceil(F.col("size") / block).cast("int")
+        out = spread_join(keys(of), live, "key", "rep", live.select("key", F.col("size").alias("_n"))).withColumn("sides", sides)
+        return out.withColumn("side", F.pmod(F.xxhash64("rep", "key"), F.col("sides")).cast("int")).drop("size")
+
+    live = written(keys(signed).groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "live")
+    pairs = written(_links(met(signed, live).join(signed, "rep"), plan, crossing=False, forest=True).distinct(), "pairs")
+    checked = written(_confirmed(pairs, nodes, d, plan, most_ids), "checked")
+    links = checked.where("linked").select("a", "b")
+    if torn is not None:
+        links = links.union(torn)
     labels = components(links)
-    if not checked.where("NOT linked").isEmpty():
-        label = labels.select(F.col("node").alias("rep"), "label")
-        labelled = members.join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        more = written(_links(blocks(labelled), plan, crossing=True).distinct().join(checked, ["a", "b"], "left_anti"), "crossing")
-        again = written(_confirmed(more, d, plan, most_ids).where("linked"), "again")
-        if not again.isEmpty():
-            labels = components(links.select("a", "b").union(again.select("a", "b")))
+    failed, hot = checked.where("NOT linked"), live.where(F.col("size") > block)
+    rounds = [True, False] if not hot.isEmpty() else [False] if not failed.isEmpty() else []
+    for forest in rounds:
+        label = labels.groupBy(F.col("node").alias("rep")).agg(F.min("label").alias("label"))
+        named = written(signed.join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "named")
+        touched = failed.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(named.select("rep", "label"), "rep").select("label").distinct()
+        doubtful = named.join(touched, "label", "left_semi")
+        again = met(doubtful, live.where(F.col("size") <= block)).union(met(named, hot))
+        again = again.join(named.select("rep", "label"), "rep")
+        counted = again.groupBy("key", "label").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("label", "k").alias("major"), F.sum("k").alias("_n"), F.count("*").alias("labels"))
+        counted = written(counted.where("labels > 1"), "counted")
+        apart = spread_join(again, counted.select("key", "major"), "key", "rep", counted.select("key", "_n"))
+        # rows off the major label of a key visit all its blocks, the others stay at home
+        own = F.col("side")
+        visits = F.when(F.col("label") == F.col("major"), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("sides") - 1))
+        apart = apart.withColumn("at", F.explode(visits)).withColumn("home", F.col("at") == own).withColumn("side", F.col("at")).drop("at")
+        more = _links(apart.join(signed, "rep"), plan, crossing=True, forest=forest).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        more = written(_confirmed(written(more, "crossing"), nodes, d, plan, most_ids), "again")
+        checked = checked.union(more)
+        failed = checked.where("NOT linked")
+        if not more.where("linked").isEmpty():
+            links = links.union(more.where("linked").select("a", "b"))
+            labels = components(links)
     labels = labels.groupBy("node").agg(F.min("label").alias("label"))
-    classes = nodes.join(labels, nodes["rep"] == labels["node"], "left").select("cls", F.coalesce("label", "rep").alias("label"))
+    classes = nodes.join(labels, nodes["rep"] == labels["node"], "left").select("cls", F.coalesce("label", "rep").alias("label"), F.col("copies").alias("_n"))
     classes = written(classes, "classes")
+    placed = spread_join(rows.select("doc_id", "n", "cls"), classes.select("cls", "label"), "cls", "doc_id", classes.select("cls", "_n"), "left")
     component = F.coalesce(F.col("label"), F.col("doc_id"))
-    return rows.select("doc_id", "n", "cls").join(classes, "cls", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept")
-    )
+    return placed.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
 #: op1's result as DuckDB SQL.
