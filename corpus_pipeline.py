@@ -33,11 +33,27 @@ def low_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the smallest doc_id stays."""
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the smallest doc_id stays, in one row.
+
+    Of rows of one doc_id the one with the smallest text stays, of rows
+    without doc_id one for each text.
+    """
     verdicts = neardup.near_copies(docs, shingle=5, percent=80)
     gone = written(verdicts.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "gone")
-    few = gone.count() <= 2_000_000  # 8 bytes each
-    return pick(docs, *COLUMNS).join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*COLUMNS)
+    kept = pick(docs, *COLUMNS).join(_few(gone), "doc_id", "left_anti").select(*COLUMNS)
+    several = written(kept.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")), "several")
+    if several.isEmpty():
+        return kept
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    rest = kept.join(_few(several), same, "left_semi")
+    own = F.when(F.col("doc_id").isNull(), F.md5("text"))
+    one = rest.groupBy("doc_id", own.alias("own")).agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
+    return kept.join(_few(several), same, "left_anti").union(one)
+
+
+def _few(ids: DataFrame) -> DataFrame:
+    """Ids for a broadcast where they are at most 2,000,000 (8 bytes each), else for a shuffle."""
+    return F.broadcast(ids) if ids.count() <= 2_000_000 else ids
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

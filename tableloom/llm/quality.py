@@ -11,23 +11,32 @@ from .shared import SPACES, pick
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
-#: Lower-case patterns of lines that are not the document's own prose.
+#: Lower-case patterns of lines that are not the document's own prose, in English, French, German and Spanish.
 BOILERPLATE = (
     r"all rights reserved|\bcopyright\b|licensed under|is licensed under|released under the [a-z0-9 .-]* ?licen[cs]e"
     r"|terms of (use|service)|privacy policy|cookie (policy|settings|consent)|\b(enable|requires?) javascript\b"
     r"|lorem ipsum|subscribe to our newsletter|page not found"
+    r"|tous droits réservés|droits d.auteur|sous licence|conditions (générales )?d.utilisation|politique de confidentialité|mentions légales|page introuvable"
+    r"|alle rechte vorbehalten|urheberrechtlich geschützt|lizenziert unter|nutzungsbedingungen|datenschutzerklärung|seite nicht gefunden"
+    r"|todos los derechos reservados|derechos de autor|bajo la licencia|términos de (uso|servicio)|política de privacidad|aviso legal|página no encontrada"
 )
+#: Words and phrases of links in the same languages: alone or with few words after them, and with any.
+LINK_WORDS = "accueil|suivant|précédent|connexion|startseite|weiter|zurück|inicio|siguiente|anterior"
+LINK_PHRASES = "se connecter|lire la suite|retour en haut|cliquez ici|anmelden|weiterlesen|nach oben|hier klicken|iniciar sesión|leer más|volver arriba|haga clic aquí"
 #: Lower-case patterns of lines that lead elsewhere.
-NAVIGATION = r"^\s*(home|menu|sign in|log ?in|register|next|previous|back to top|skip to (main )?content|read more|click here|share( this)?)\b.{0,40}$"
+NAVIGATION = (
+    r"^\s*(home|menu|sign in|log ?in|register|next|previous|back to top|skip to (main )?content|read more|click here|share( this)?)\b.{0,40}$"
+    rf"|^\s*({LINK_WORDS}|{LINK_PHRASES})(\s.{{0,40}})?$"
+)
 #: Share of a line's words that boilerplate phrases must have, unless the line begins as a notice and is short.
 PHRASE_SHARE, NOTICE_WORDS = 1 / 8, 40
 #: Lower-case beginnings of notices.
 NOTICE = r"^\W*(copyright\W*(©|\(c\)|\d{4})|all rights reserved|((this|the) \S+ (\S+ )?is )?licensed under|released under the )"
 #: Lines in the form of links: the phrase alone, or without a sentence's end a phrase, few words, capitalised words or entries with separators.
-LINK_ALONE = r"(?i)^\s*(sign in|log ?in|back to top|skip to (main )?content|read more|click here|share this)\W*$"
+LINK_ALONE = rf"(?i)^\s*(sign in|log ?in|back to top|skip to (main )?content|read more|click here|share this|{LINK_PHRASES})\W*$"
 LINK = (
-    r"^\s*((?i:home|menu|sign in|log ?in|register|next|previous|share)(\s+\S+){0,2}|\S+\s*[|>»›·•→:].*"
-    r"|(?i:sign in|log ?in|back to top|skip to (main )?content|read more|click here|share this)\b.*|(\p{Lu}\S*\s*)+)$"
+    rf"^\s*((?i:home|menu|sign in|log ?in|register|next|previous|share|{LINK_WORDS})(\s+\S+){{0,2}}|\S+\s*[|>»›·•→:].*"
+    rf"|(?i:sign in|log ?in|back to top|skip to (main )?content|read more|click here|share this|{LINK_PHRASES})\b.*|(\p{{Lu}}\S*\s*)+)$"
 )
 SENTENCE_END = r"[.!?…,;][\"'”’)]*\s*$"
 

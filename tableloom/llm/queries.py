@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, html, licenses, neardup, packing, quality, sharding, token_counts, token_files, toxicity
-from .shared import shared_dir, table
+from .shared import folder, table
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +29,7 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}/tokens"
+    path = folder(spark, "tokens")
     token_files.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer=public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return token_files.with_crc(token_files.read_tokens(spark, path))
 

@@ -38,24 +38,28 @@ def pick(df: DataFrame, *names: str, **casts: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests, one machine)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset and all runs on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
-def written(df: DataFrame, name: str, fmt: str = "parquet", **options: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
-
-    The files go when the driver's Python ends.
-    """
-    spark = df.sparkSession
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what lies there goes when the driver's Python ends."""
     path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}/{name}"
-    df.write.format(fmt).options(**options).save(path)
     atexit.register(_remove, spark, path)
-    return spark.read.format(fmt).schema(df.schema).load(path)
+    return path
+
+
+def written(df: DataFrame, name: str, fmt: str = "parquet", **options: str) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
+    path = folder(df.sparkSession, name)
+    df.write.format(fmt).options(**options).save(path)
+    return df.sparkSession.read.format(fmt).schema(df.schema).load(path)
 
 
 def spread_join(many: DataFrame, one: DataFrame, key: str, by: str, counts: DataFrame, how: str = "inner") -> DataFrame:

@@ -67,3 +67,39 @@ def test_signature_distance_is_found_by_pigeonhole():
             y[at] ^= 1
             keys = neardup.keys_of(np.stack([x, y]), plan)
             assert (keys[0] == keys[1]).any()
+
+
+def test_texts_of_one_doc_id_are_one_document(spark):
+    """Different texts of a doc_id are linked, whichever of them other documents resemble."""
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(4, a), (4, b), (4, a), (9, b + " more"), (2, a + " more"), (6, "nothing like them at all"), (7, b), (None, b)]
+    got = [(r.doc_id, r.component_id, r.kept) for r in neardup.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted([(4, 2, False)] * 3 + [(9, 2, False), (2, 2, True), (6, 6, True), (7, 2, False), (None, 2, False)], key=str)
+
+
+@pytest.mark.parametrize("block", [16, 64])
+def test_groups_larger_than_a_block(spark, block):
+    """Hundreds of different near copies share keys that fill many blocks, beside others close to the threshold."""
+    rng = random.Random(block)
+    words = [f"w{i}" for i in range(150)]
+    texts = {}
+    for k in range(500):
+        own = list(words)
+        for _ in range(rng.choice([1, 1, 2, 3, 5])):
+            own[rng.randrange(150)] = f"x{rng.randrange(10_000)}"
+        texts[k] = " ".join(own)
+    got = {r.doc_id: r.component_id for r in neardup.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), block=block).collect()}
+    assert got == components(texts, 3, 85)
+
+
+def test_spread_join_is_a_join(spark):
+    from pyspark.sql import functions as F
+
+    from tableloom.llm.shared import spread_join
+
+    many = spark.range(5000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 11 == 0, None).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    one = spark.range(0, 5000, 7).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+    counts = many.groupBy("k").agg(F.count("*").alias("_n"))
+    for how in ("inner", "left"):
+        got = spread_join(many, one, "k", "v", counts, how).select("k", "v", "w").collect()
+        assert sorted(map(str, got)) == sorted(map(str, many.join(one, "k", how).select("k", "v", "w").collect()))

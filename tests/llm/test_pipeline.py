@@ -99,3 +99,11 @@ def test_run_is_the_stages_one_after_another(spark, steps):
     """Packing order follows partitions, so whole documents are compared."""
     got = corpus_pipeline.run(spark, SF).select("doc_id", "doc_tokens").distinct().collect()
     assert sorted(map(tuple, got)) == sorted({(r.doc_id, r.doc_tokens) for r in steps[5]})
+
+
+def test_one_row_of_each_document_stays(spark):
+    text = "a text of some words that is long enough to have shingles of its own and to be linked"
+    rows = [(3, text), (3, text), (3, text + " with an end"), (5, text), (7, "another text altogether, which nothing else resembles"), (None, text), (None, text), (None, None)]
+    docs = spark.createDataFrame([(k, t, "en", "web", len(t or "")) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.one_of_near_copies(spark, docs, SF).collect()]
+    assert sorted(kept, key=str) == sorted([(3, text), (7, rows[4][1]), (None, text), (None, None)], key=str)

@@ -29,3 +29,26 @@ def test_phrases_in_long_clean_lines(spark):
 def test_lines(spark, lines, want):
     rows = spark.createDataFrame([(x,) for x in lines], "line string").select("line", line_fails(F.col("line")).alias("fails")).collect()
     assert [r.line for r in rows if r.fails != want] == []
+
+
+OTHER_LANGUAGES = (
+    "Tous droits réservés.", "Mentions légales", "Précédent", "Lire la suite", "Retour en haut", "Alle Rechte vorbehalten.", "Zurück zur Startseite", "Weiterlesen ...", "Datenschutzerklärung",
+    "Todos los derechos reservados.", "Página no encontrada", "Iniciar sesión", "Leer más", "Siguiente >",
+)
+OTHER_PROSE = (
+    "Weiter oben am Hang stand ein Haus, das niemand mehr bewohnte.", "Suivant le fleuve, ils marchèrent jusqu'au soir sans dire un mot.", "Anterior a todo aquello fue el silencio de la casa.",
+    "Der Verlag hielt an allen Liedern fest, und alle Rechte vorbehalten zu wissen, war dem alten Mann eine stille Freude in jedem Jahr bis zu seinem Tod.", "Zurück im Dorf fanden sie das Tor offen.",
+)
+
+
+@pytest.mark.parametrize("lines, want", [(OTHER_PROSE, False), (OTHER_LANGUAGES, True)])
+def test_lines_of_other_languages(spark, lines, want):
+    rows = spark.createDataFrame([(x,) for x in lines], "line string").select("line", line_fails(F.col("line")).alias("fails")).collect()
+    assert [r.line for r in rows if r.fails != want] == []
+
+
+def test_ties_repeats_and_nulls(spark):
+    """Equal rows get equal verdicts; a text without words is rejected."""
+    rows = [(1, "a b c d e f g h i j"), (1, "a b c d e f g h i j"), (None, "a b c d e f g h i j"), (2, None), (3, " \n")]
+    got = [(r.doc_id, r.n_words, r.base_failed, r.kept) for r in quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert got == [(1, 10, False, True)] * 2 + [(None, 10, False, True), (2, 0, True, False), (3, 0, True, False)]
