@@ -162,6 +162,10 @@ def quality(docs: DataFrame, *, keep: tuple[str, ...] = (), **rules: int) -> Dat
     return d.withColumn("_q", figures(F.col("text"), **rules)).select(*keep, "doc_id", "text", "_q.*")
 
 
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
 #: What quality() returns over `documents`, without its text columns, as DuckDB SQL.
 ORACLE = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents),
@@ -180,8 +184,10 @@ lost AS (
   SELECT r, sum(n) AS n FROM l WHERE n > 0 AND (
     len(regexp_extract_all(line, '[#*$%&|<>]+')) >= 0.3 * n
     OR len(regexp_extract_all(line, '[!?]{{2,}}')) >= 0.5 * n
-    OR regexp_matches(lower(line), '{NAVIGATION}')
-    OR regexp_matches(lower(line), '{BOILERPLATE}')) GROUP BY r
+    OR (regexp_matches(lower(line), {_quoted(NAVIGATION)}) AND (regexp_matches(line, {_quoted(LINK_ALONE)})
+      OR (NOT regexp_matches(line, {_quoted(SENTENCE_END)}) AND regexp_matches(line, {_quoted(LINK)}))))
+    OR (regexp_matches(lower(line), {_quoted(BOILERPLATE)}) AND (8 * len(regexp_extract_all(array_to_string(regexp_extract_all(lower(line), {_quoted(BOILERPLATE)}), ' '), '[^\x20\x09-\x0D]+')) >= n
+      OR (n <= {NOTICE_WORDS} AND regexp_matches(lower(line), {_quoted(NOTICE)}))))) GROUP BY r
 ),
 f AS (
   SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,

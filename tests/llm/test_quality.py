@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import pytest
+from compare import duck_rows, spark_rows
 from pyspark.sql import functions as F
 
-from tableloom.llm.quality import line_fails, quality
+from tableloom.llm.quality import ORACLE, line_fails, quality
 
 PROSE = "The old printer kept every letter of the alphabet in a drawer and could find each of them in the dark without a lamp or a {} beside them. "
 PHRASES = ("copyright", "terms of use", "privacy policy", "cookie policy", "page not found", "licensed under")
@@ -52,3 +53,14 @@ def test_ties_repeats_and_nulls(spark):
     rows = [(1, "a b c d e f g h i j"), (1, "a b c d e f g h i j"), (None, "a b c d e f g h i j"), (2, None), (3, " \n")]
     got = [(r.doc_id, r.n_words, r.base_failed, r.kept) for r in quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert got == [(1, 10, False, True)] * 2 + [(None, 10, False, True), (2, 0, True, False), (3, 0, True, False)]
+
+
+def test_sql_states_the_same_rules(spark, tmp_path):
+    """The SQL judges lines of all these kinds as the operator does, not only those of the driver's tables."""
+    lines = [*KEPT, *DROPPED, *OTHER_LANGUAGES, *OTHER_PROSE, "### *** $$$ one", "Really?! Yes!! No!!", *(PROSE.format(p) for p in PHRASES)]
+    more = " ".join(f"word{k}" for k in range(30))
+    docs = spark.createDataFrame([(k, f"{x}\n{more}") for k, x in enumerate(lines)], "doc_id long, text string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "rows"))
+    next((tmp_path / "rows").glob("*.parquet")).rename(tmp_path / "documents.parquet")
+    got, want = spark_rows(quality(docs).drop("text", "clean_text")), duck_rows(ORACLE, str(tmp_path))
+    assert got == want
