@@ -108,6 +108,17 @@ def test_pipeline_stages(spark, name, stage, tmp_path):
             assert len(rows) == docs.count()
 
 
+@pytest.mark.parametrize("name", OPERATORS)
+def test_columns_of_one_name(spark, name, tmp_path):
+    """Of two columns called text the first is taken, by every operator."""
+    rows = [(3, "one", "other words", "web"), (4, "Plain words in one short line that nobody would mind to read at all.", None, "web"), (5, None, "one", None)]
+    once = spark.createDataFrame(rows, "doc_id long, text string, other string, source string")
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b").mkdir()
+    got, want = (OPERATORS[name](spark, d, tmp_path / at).collect() for d, at in ((once.toDF("doc_id", "text", "text", "source"), "a"), (once, "b")))
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_clashing_names_of_one_spelling(spark):
     """Of several columns of one name the first is taken."""
     twice = spark.createDataFrame([(3, "one", "some other text")], "doc_id long, text string, other string").toDF("doc_id", "text", "text")
