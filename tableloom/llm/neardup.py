@@ -430,6 +430,8 @@ def near_copies(docs: DataFrame, *, shingle: int = 3, percent: int = 85, symbols
         again = again.join(named.select("rep", "label"), "rep")
         counted = again.groupBy("key", "label").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("label", "k").alias("major"), F.sum("k").alias("_n"), F.count("*").alias("labels"))
         counted = written(counted.where("labels > 1"), "counted")
+        if counted.isEmpty():
+            break  # no key holds two components, and no later round finds others
         apart = spread_join(again, counted.select("key", "major"), "key", "rep", counted.select("key", "_n"))
         # rows off the major label of a key visit all its blocks, the others stay at home
         own = F.col("side")
