@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@lru_cache
 def _stream(n: int, seed: int) -> np.ndarray:
     return _mix(np.arange(1, n + 1, dtype="<u8") * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
 
@@ -76,10 +78,12 @@ def shingle_set(words: list[bytes], width: int) -> np.ndarray:
 
 
 def signature(s: np.ndarray, symbols: int) -> np.ndarray:
-    flips, factors = _stream(symbols, 11), _stream(symbols, 13) | np.uint64(1)
+    flips, factors = _stream(symbols, 11)[:, None], (_stream(symbols, 13) | np.uint64(1))[:, None]
     low = np.full(symbols, np.uint64(2**64 - 1))
-    for at in range(0, len(s), 4096):
-        low = np.minimum(low, ((s[at : at + 4096, None] ^ flips) * factors).min(axis=0))
+    for at in range(0, len(s), 1024):  # a row a symbol, as much at once as a cache holds
+        x = s[None, at : at + 1024] ^ flips
+        x *= factors
+        low = np.minimum(low, x.min(axis=1))
     return (_mix(low) >> np.uint64(48)).astype("<u2")
 
 
