@@ -365,7 +365,7 @@ def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return nodes, held.join(low, "doc_id").where("a <> b").select("a", "b")
 
 
-def near_copies(docs: DataFrame, *, shingle: int = 3, percent: int = 85, symbols: int = 64, block: int = 1024, most_ids: int = 1_000_000) -> DataFrame:
+def near_copies(docs: DataFrame, *, shingle: int = 3, percent: int = 85, symbols: int = 64, block: int = 256, most_ids: int = 1_000_000) -> DataFrame:
     """The component of each document in the graph of near copies.
 
     Words are what white space parts, A-Z lowered; a document's set holds its
