@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,13 @@ BOILERPLATE = (
     r"|alle rechte vorbehalten|urheberrechtlich geschützt|lizenziert unter|nutzungsbedingungen|datenschutzerklärung|seite nicht gefunden"
     r"|todos los derechos reservados|derechos de autor|bajo la licencia|términos de (uso|servicio)|política de privacidad|aviso legal|página no encontrada"
 )
+#: Of each of these phrases, a part that it cannot lack: lines without any are not searched for patterns.
+BOILERPLATE_PARTS = (
+    "reserved copyright licen javascript policy cookie newsletter droits utilisation politique mentions introuvable vorbehalten geschützt lizenziert"
+    " nutzungsbedingungen datenschutz gefunden derechos términos privacidad encontrada"
+).split() + ["terms of", "lorem ipsum", "not found", "aviso legal"]
+#: Words that a line of NAVIGATION can have: four of the phrase, and those of 40 characters.
+NAVIGATION_WORDS = 24
 #: Words and phrases of links in the same languages: alone or with few words after them, and with any.
 LINK_WORDS = "accueil|suivant|précédent|connexion|startseite|weiter|zurück|inicio|siguiente|anterior"
 LINK_PHRASES = "se connecter|lire la suite|retour en haut|cliquez ici|anmelden|weiterlesen|nach oben|hier klicken|iniciar sesión|leer más|volver arriba|haga clic aquí"
@@ -92,18 +100,18 @@ def line_fails(line: Column, min_symbol_share: float = 0.3, min_shout_share: flo
     `NOTICE_WORDS` words that begins as a notice does.  A phrase in prose does
     not count, however long the line.  A line without words breaks none.
     """
-    low = F.lower(line)
-    phrases = F.regexp_count(F.array_join(F.regexp_extract_all(low, F.lit(BOILERPLATE), 0), " "), F.lit(WORD))
-    return _let(
-        F.regexp_count(line, F.lit(WORD)),
-        lambda n: (n > 0)
-        & (
+
+    def judged(low: Column, n: Column) -> Column:
+        phrases = F.regexp_count(F.array_join(F.regexp_extract_all(low, F.lit(BOILERPLATE), 0), " "), F.lit(WORD))
+        may_hold = reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in BOILERPLATE_PARTS])
+        return (n > 0) & (
             (F.regexp_count(line, F.lit(r"[#*$%&|<>]+")) >= min_symbol_share * n)
             | (F.regexp_count(line, F.lit(r"[!?]{2,}")) >= min_shout_share * n)
-            | (low.rlike(NAVIGATION) & (line.rlike(LINK_ALONE) | (~line.rlike(SENTENCE_END) & line.rlike(LINK))))
-            | (low.rlike(BOILERPLATE) & ((phrases >= PHRASE_SHARE * n) | ((n <= NOTICE_WORDS) & low.rlike(NOTICE))))
-        ),
-    )
+            | ((n <= NAVIGATION_WORDS) & low.rlike(NAVIGATION) & (line.rlike(LINK_ALONE) | (~line.rlike(SENTENCE_END) & line.rlike(LINK))))
+            | (may_hold & low.rlike(BOILERPLATE) & ((phrases >= PHRASE_SHARE * n) | ((n <= NOTICE_WORDS) & low.rlike(NOTICE))))
+        )
+
+    return _let(F.lower(line), lambda low: _let(F.regexp_count(line, F.lit(WORD)), lambda n: judged(low, n)))
 
 
 def figures(text: Column, *, min_words: int = 10, max_repeat_percent: int = 20, max_lost_percent: int = 60, window: int = 5) -> Column:
