@@ -365,7 +365,7 @@ def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return nodes, held.join(low, "doc_id").where("a <> b").select("a", "b")
 
 
-def near_copies(docs: DataFrame, *, shingle: int = 3, percent: int = 85, symbols: int = 64, block: int = 256, most_ids: int = 1_000_000) -> DataFrame:
+def near_copies(docs: DataFrame, *, shingle: int = 3, percent: int = 85, symbols: int = 64, block: int = 1024, most_ids: int = 1_000_000) -> DataFrame:
     """The component of each document in the graph of near copies.
 
     Words are what white space parts, A-Z lowered; a document's set holds its
@@ -410,10 +410,11 @@ def near_copies(docs: DataFrame, *, shingle: int = 3, percent: int = 85, symbols
         """Computing keys again costs less than writing them."""
         return of.select("rep", "sig").mapInArrow(keyed, "key bigint, pos int, rep bigint")
 
-    def met(of: DataFrame, live: DataFrame) -> DataFrame:
-        """The keys of nodes that others have too, and each row's block among `sides`."""
+    def met(of: DataFrame, live: DataFrame, few: bool = False) -> DataFrame:
+        """The keys of nodes that others have too, and each row's block among `sides`; few: at most `most_ids` keys."""
         sides = F.ceil(F.col("size") / block).cast("int")
-        out = spread_join(keys(of), live, "key", "rep", live.select("key", F.col("size").alias("_n"))).withColumn("sides", sides)
+        found = keys(of).join(F.broadcast(live), "key") if few else spread_join(keys(of), live, "key", "rep", live.select("key", F.col("size").alias("_n")))
+        out = found.withColumn("sides", sides)
         return out.withColumn("side", F.pmod(F.xxhash64("rep", "key"), F.col("sides")).cast("int")).drop("size")
 
     live = written(keys(signed).groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "live")
@@ -423,14 +424,15 @@ def near_copies(docs: DataFrame, *, shingle: int = 3, percent: int = 85, symbols
     if torn is not None:
         links = links.union(torn)
     labels = components(links)
-    failed, hot = checked.where("NOT linked"), live.where(F.col("size") > block)
-    rounds = [True, False] if not hot.isEmpty() else [False] if not failed.isEmpty() else []
+    failed, hot = checked.where("NOT linked"), written(live.where(F.col("size") > block), "hot")
+    n_hot = hot.count()
+    rounds = [True, False] if n_hot else [False] if not failed.isEmpty() else []
     for forest in rounds:
         label = labels.groupBy(F.col("node").alias("rep")).agg(F.min("label").alias("label"))
         named = written(signed.join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "named")
         touched = failed.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(named.select("rep", "label"), "rep").select("label").distinct()
         doubtful = named.join(touched, "label", "left_semi")
-        again = met(doubtful, live.where(F.col("size") <= block)).union(met(named, hot))
+        again = met(doubtful, live.where(F.col("size") <= block)).union(met(named, hot, n_hot <= most_ids))
         again = again.join(named.select("rep", "label"), "rep")
         counted = again.groupBy("key", "label").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("label", "k").alias("major"), F.sum("k").alias("_n"), F.count("*").alias("labels"))
         counted = written(counted.where("labels > 1"), "counted")
